@@ -7,24 +7,40 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, elias_fano, mixing, mpegts, warc
+from . import ann_lists, bpe, crf_toxicity, elias_fano, lang_bloom, license_scan, mixing, mpegts, warc
 from .common import table
 
 RANKS, TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_bloom.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents", "doc_id", "text"), RANKS, public_tokenizers.PATTERN)
 
 
+def op3_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf_toxicity.toxicity(spark, sf_dir)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elias_fano.token_files(table(spark, sf_dir, "documents", "doc_id", "text"), TOKENIZER)
 
 
+def op6_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_lists.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_files(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+def op8_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_mpeg_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpegts.media_features(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -33,5 +49,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_byte_bpe, op4_token_files, op7_warc, op9_mpeg_ts, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_filters, op2_byte_bpe, op3_toxicity_crf, op4_token_files, op6_posting_lists, op7_warc, op8_license_index, op9_mpeg_ts, op10_mixing)}
 ORACLES: dict[str, str] = {}
