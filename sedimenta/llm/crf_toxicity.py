@@ -314,9 +314,9 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: dict[int, int] | None =
         part = rows.where(F.col("toxic") == y).orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(most)
         chosen = part if chosen is None else chosen.union(part)
     texts = docs.select("doc_id", "text").where(F.char_length("text") <= SAMPLE_CHARS)
-    # Some thousand ids at most: PER_LABEL is the bound of what is broadcast.
+    # Some thousand ids at most: PER_LABEL is the bound of what is broadcast, and with SAMPLE_CHARS of what comes back.
     sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
-    found = sorted((r["doc_id"], r["toxic"], r["text"]) for r in sample.toLocalIterator())
+    found = sorted((r["doc_id"], r["toxic"], r["text"]) for r in sample.collect())
     return fit([(text, y) for _, y, text in found], shares)
 
 

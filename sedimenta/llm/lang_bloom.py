@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, materialize
 
 PER_LANGUAGE = 800
 MIN_DOCS, RATIO = 2, 0.25
@@ -135,18 +135,28 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Filters:
     # The choice needs ids only; Spark keeps the first rows of each language in every task before it shuffles.
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id")
     chosen = known.select("doc_id", "lang").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).drop("k")
-    sample = known.join(chosen, ["doc_id", "lang"])
-    seen: dict[str, list[np.ndarray]] = {}
-    for r in sample.select("lang", "text").toLocalIterator():
-        seen.setdefault(r["lang"], []).append(np.unique(np.concatenate([np.zeros(0, np.uint64), *pieces(r["text"])])))
-    names = sorted(seen)
-    tables = [np.unique(np.concatenate(seen[x]), return_counts=True) for x in names]
-    every = np.unique(np.concatenate([g for g, _ in tables])) if tables else np.zeros(0, np.uint64)
+    chosen = materialize(chosen, "languages")
+    # A row a language.
+    texts = {r["lang"]: r["n"] for r in known.join(chosen, ["doc_id", "lang"]).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
+                g = np.unique(np.concatenate([np.zeros(0, np.uint64), *pieces(text)])).astype(np.int64)
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(g), pa.string()), "gram": pa.array(g, pa.int64())})
+
+    grammed = known.join(chosen, ["doc_id", "lang"]).select("lang", "text").mapInArrow(distinct, "lang string, gram long")
+    # At most the trigrams of the sample's texts that stand in MIN_DOCS of a language.
+    counted = grammed.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= (MIN_DOCS if max(texts.values(), default=0) >= MIN_DOCS else 1)).toArrow()
+    names = sorted(texts)
+    langs, found, n = (np.array(counted[c].to_pylist(), object if c == "lang" else np.int64) for c in ("lang", "gram", "n"))
+    every = np.unique(found)
     share = np.zeros((len(names), len(every)))
-    for i, (g, count) in enumerate(tables):
-        share[i, np.searchsorted(every, g)] = np.where(count >= min(MIN_DOCS, len(seen[names[i]])), count, 0) / len(seen[names[i]])
+    for i, name in enumerate(names):
+        own = langs == name
+        share[i, np.searchsorted(every, found[own])] = n[own] / texts[name]
     most = share.max(axis=0, initial=0)
-    return Filters(names, [every[(s > 0) & (s >= RATIO * most)] for s in share])
+    return Filters(names, [every[(s > 0) & (s >= RATIO * most)].astype(np.uint64) for s in share])
 
 
 def predict_udf(filters: Filters):
