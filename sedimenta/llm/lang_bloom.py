@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import held_out, materialize
@@ -159,15 +159,16 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Filters:
     return Filters(names, [every[(s > 0) & (s >= RATIO * most)].astype(np.uint64) for s in share])
 
 
-def predict_udf(filters: Filters):
-    """A column function of texts: struct of lang_pred and score."""
+def accepted_udf(filters: Filters):
+    """A column function of texts: whether the text is of some language. Those without a letter are not, nor those whose corrected counts are an even split."""
+    least = 1.0 / max(2, len(filters.languages))
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predicted(texts: pd.Series) -> pd.DataFrame:
-        lang, score = filters.predict([None if x is None else x for x in texts])
-        return pd.DataFrame({"lang_pred": lang, "score": score})
+    @F.pandas_udf("boolean")
+    def accepted(texts: pd.Series) -> pd.Series:
+        lang, score = filters.predict(list(texts))
+        return pd.Series([x != UND and bool(y > least) for x, y in zip(lang, score, strict=True)], dtype=bool)
 
-    return predicted
+    return accepted
 
 
 def identify(docs: DataFrame, filters: Filters | None = None) -> DataFrame:
@@ -182,7 +183,3 @@ def identify(docs: DataFrame, filters: Filters | None = None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
-
-#: A text is rejected as of no language if its decided language has a smaller share of all corrected counts than an even split, or no letter.
-def accepted(predicted: Column, languages: int) -> Column:
-    return (predicted["lang_pred"] != UND) & (predicted["score"] > 1.0 / max(2, languages))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_lists, bpe, crf_toxicity, elias_fano, lang_bloom, license_scan, mixing, mpegts, warc
+from . import ann_lists, bpe, crf_toxicity, elias_fano, lang_bloom, license_scan, mixing, mpegts, prefix_join, warc
 from .common import table
 
 RANKS, TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
@@ -29,6 +29,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elias_fano.token_files(table(spark, sf_dir, "documents", "doc_id", "text"), TOKENIZER)
 
 
+def op5_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_join.join(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_lists.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
@@ -49,5 +53,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_filters, op2_byte_bpe, op3_toxicity_crf, op4_token_files, op6_posting_lists, op7_warc, op8_license_index, op9_mpeg_ts, op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_filters, op2_byte_bpe, op3_toxicity_crf, op4_token_files, op5_prefix_join, op6_posting_lists, op7_warc, op8_license_index, op9_mpeg_ts, op10_mixing)}
 ORACLES: dict[str, str] = {}
