@@ -99,13 +99,12 @@ def members(data: bytes) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
-def with_first_seen(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, html and refers_to (struct, null for responses). The digests alone are grouped, with partial maxima, so that a hot payload is no hot task."""
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    p = p.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html"))
-    owners = p.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("d"), "owner")
-    p = p.join(owners, (p["digest"] == owners["d"]) & (p["size"] >= min_bytes), "left")
-    return p.select("page_id", "url", "html", F.when(F.col("d").isNotNull() & ~F.col("owner").eqNullSafe(F.col("page_id")), F.struct(F.col("owner").alias("page_id"))).alias("refers_to"))
+def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """page_id, digest (hexadecimal), owner of each page that revisits another. Digests alone are grouped and joined, with partial maxima, so that a hot payload is no hot task."""
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("html", F.lit("")).cast("binary").alias("html"))
+    p = p.where(F.octet_length("html") >= min_bytes).select("page_id", F.sha1("html").alias("digest"))
+    owners = p.groupBy("digest").agg(F.max("page_id").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return p.join(owners, "digest").where(~F.col("owner").eqNullSafe(F.col("page_id"))).select("page_id", "digest", "owner").distinct()
 
 
 def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> list[dict]:
@@ -115,6 +114,7 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: in
         part, attempt = attempt_id()
         held: list[bytes] = []
         size = seq = n = 0
+        last, owners = (), {}
 
         def roll() -> pa.RecordBatch:
             name, data = f"pages-{part:06d}-{seq:05d}.warc.gz", b"".join(held)
@@ -123,8 +123,13 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: in
 
         for b in batches:
             for x in b.to_pylist():
-                r = x["refers_to"]
-                held.append(gzip_member(record(x["page_id"], x["url"], x["html"].encode(), r and (r["page_id"],))))
+                if last != (x["page_id"],):
+                    last, owners = (x["page_id"],), {}
+                if x["digest"]:
+                    owners[x["digest"]] = (x["owner"],)
+                    continue
+                payload = (x["html"] or "").encode()
+                held.append(gzip_member(record(x["page_id"], x["url"], payload, owners and owners.get(hashlib.sha1(payload).hexdigest()))))
                 size, n = size + len(held[-1]), n + 1
                 if size >= file_bytes:
                     yield roll()
@@ -132,10 +137,13 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: in
         if held:
             yield roll()
 
-    order = [F.col("page_id").asc_nulls_first(), F.col("url").asc_nulls_first()]
-    rows = with_first_seen(pages, min_bytes).repartitionByRange(*order).sortWithinPartitions(*order, "html")
+    # Pages are shuffled once: what a page refers to travels as a row of its own, which sorts before the page.
+    none = F.lit(None)
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), none.cast("string").alias("digest"), none.cast("long").alias("owner"), "url", "html")
+    rows = own.unionByName(revisits(pages, min_bytes).select("page_id", "digest", "owner", none.cast("string").alias("url"), none.cast("string").alias("html")))
+    rows = rows.repartitionByRange(F.col("page_id").asc_nulls_first()).sortWithinPartitions(F.col("page_id").asc_nulls_first(), F.col("digest").asc_nulls_last(), F.col("url").asc_nulls_first(), F.col("html").asc_nulls_first())
     # One row a file of some 16 MB: the manifest, not the pages.
-    files = sorted((r.asDict() for r in rows.mapInArrow(run, "part int, seq int, file string, records long, bytes long, sha1 string").toLocalIterator()), key=lambda r: (r["part"], r["seq"]))
+    files = sorted((r.asDict() for r in rows.mapInArrow(run, "part int, seq int, file string, records long, bytes long, sha1 string").collect()), key=lambda r: (r["part"], r["seq"]))
     write_file(folder, "manifest.json", json.dumps({"files": files}).encode(), "commit")
     return files
 
