@@ -6,7 +6,6 @@ import tempfile
 import uuid
 import zlib
 
-import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,11 +93,3 @@ def held_out(doc_id: Column) -> Column:
 def is_held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 == 0
 
-
-def batch(schema: pa.Schema, *columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
-
-
-def to_parallel(df: DataFrame, n: int) -> DataFrame:
-    """Rows that each stand for a file, dealt over n tasks."""
-    return df.repartition(max(1, n))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 # Fixed values of the format (ISO/IEC 13818-1).
-PACKET, SYNC, NULL_PID, PAT_PID = 188, 0x47, 0x1FFF, 0x0000
+PACKET, SYNC, PAT_PID = 188, 0x47, 0x0000
 PRIVATE_STREAM, PRIVATE_TYPE = 0xBD, 0x06
 CLOCK = 90_000
 # Choices of this writer.

@@ -54,4 +54,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_filters, op2_byte_bpe, op3_toxicity_crf, op4_token_files, op5_prefix_join, op6_posting_lists, op7_warc, op8_license_index, op9_mpeg_ts, op10_mixing)}
-ORACLES: dict[str, str] = {}
+#: Base32 of a digest is five bits for each character.
+ORACLES: dict[str, str] = {
+    "op7_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        d AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS owner, CAST(CAST(unhex(sha1(h)) AS BIT) AS VARCHAR) AS bits FROM p)
+        SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+            array_to_string(list_transform(range(32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + 16 * CAST(bits[5 * i + 1] AS INT) + 8 * CAST(bits[5 * i + 2] AS INT) + 4 * CAST(bits[5 * i + 3] AS INT) + 2 * CAST(bits[5 * i + 4] AS INT) + CAST(bits[5 * i + 5] AS INT) AS INT), 1)), '') AS payload_digest,
+            CASE WHEN owner = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN owner <> page_id THEN owner END AS refers_to
+        FROM d"""
+}
