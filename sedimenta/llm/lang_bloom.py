@@ -132,12 +132,15 @@ class Filters:
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Filters:
     """Filters from docs(doc_id, text, lang): a bounded sample of rows that aren't held out."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
-    # The choice needs ids only; Spark keeps the first rows of each language in every task before it shuffles.
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).drop("k")
+    # The choice needs ids only. A hash bound thins each language by its count before rows are ranked, so that no task ranks a whole language.
+    ids = known.select("doc_id", "lang", F.xxhash64(F.lit(1), "doc_id").alias("h"))
+    counts = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    near = ids.join(counts, "lang").where(F.pmod("h", F.lit(1 << 30)) < (1 << 30) * (per_language + 5 * per_language**0.5) / F.col("rows"))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    chosen = near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("doc_id", "lang")
     chosen = materialize(chosen, "languages")
     # A row a language.
-    texts = {r["lang"]: r["n"] for r in known.join(chosen, ["doc_id", "lang"]).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    texts = {r["lang"]: r["n"] for r in known.join(chosen, ["doc_id", "lang"], "left_semi").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -145,7 +148,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Filters:
                 g = np.unique(np.concatenate([np.zeros(0, np.uint64), *pieces(text)])).astype(np.int64)
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(g), pa.string()), "gram": pa.array(g, pa.int64())})
 
-    grammed = known.join(chosen, ["doc_id", "lang"]).select("lang", "text").mapInArrow(distinct, "lang string, gram long")
+    grammed = known.join(chosen, ["doc_id", "lang"], "left_semi").select("lang", "text").mapInArrow(distinct, "lang string, gram long")
     # At most the trigrams of the sample's texts that stand in MIN_DOCS of a language.
     counted = grammed.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= (MIN_DOCS if max(texts.values(), default=0) >= MIN_DOCS else 1)).toArrow()
     names = sorted(texts)
