@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding with a local rank file.
 
-A text is cut before every single space that stands between two characters
-that aren't white space. No match of the pre-splitting pattern crosses such a
-place and no look-ahead sees past it, so that the ids of the chunks, one after
-the other, are the ids of the text. Words repeat, so a bounded table of chunk
+A text is cut before every single space or line feed that stands between two
+characters that aren't white space. No match of the pre-splitting pattern
+crosses such a place and no look-ahead sees past it, so that the ids of the
+chunks, one after the other, are the ids of the text; between letters and a
+tail of other characters at a chunk's end a match ends, too. Words repeat, so a bounded table of chunk
 ids spares most calls of the library, and no call gets a very long text unless
 it has no such place.
 
@@ -17,52 +18,101 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: A space beside other white space: such texts are cut by SAFE instead.
-IRREGULAR = re.compile(r"\s | \s|^ | $")
+#: White space but the space and the line feed: texts with it are cut by the general rule.
+OTHER_SPACE = [chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) not in " \n"]
 SAFE = re.compile(r"(?<=\S) (?=\S)")
-#: Entries of a chunk table, and the longest chunk that enters it: about 40 MB in each Python worker.
-TABLE, LONGEST = 150_000, 48
+#: Entries of a table of chunks, and the longest chunk that stays in it: about 120 MB in each Python worker.
+TABLE, LONGEST = 600_000, 48
+#: Characters of a chunk's tail that is encoded on its own, and tails that are remembered.
+LONG_TAIL, TAILS = 4, 10_000
+
+
+def cut(text: str) -> list[str]:
+    """The chunks of a text: the first as it is, each other either behind a space, which is left out, or with a line feed of its own before it."""
+    parts = text.replace("\n", " \n").split(" ")
+    if "" in parts or " \n" in text or "\n " in text or "\n\n" in text or any(c in text for c in OTHER_SPACE):
+        return SAFE.split(text)
+    return parts
+
+
+def stem_of(chunk: str) -> str:
+    """The letters of a chunk of letters (behind a line feed or not) and up to LONG_TAIL characters that are no letters, digits or white space; else the empty text."""
+    at = len(chunk)
+    while at and not chunk[at - 1].isalnum() and not chunk[at - 1].isspace():
+        at -= 1
+    stem = chunk[:at]
+    return stem if 0 < len(chunk) - at <= LONG_TAIL and (stem[1:] if stem[:1] == "\n" else stem).isalpha() else ""
+
+
+class Chunks:
+    """ids of chunks that stand behind ``lead``: two generations of a table, the older of which is dropped when the younger is half full."""
+
+    def __init__(self, encode_all: Callable[[list[str]], list[bytes]], lead: str):
+        self.encode_all, self.lead = encode_all, lead
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+
+    def of(self, wanted: set[str]) -> dict[str, bytes]:
+        """A table that holds all wanted chunks."""
+        if len(self.young) > TABLE // 2:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        missing = wanted.difference(young)
+        if not missing:
+            return young
+        known = missing & old.keys()
+        young.update((x, old[x]) for x in known)
+        missing -= known
+        tailed = {x: stem for x in missing if (stem := stem_of(x))}
+        new = list(missing.difference(tailed) | set(tailed.values()).difference(young))
+        young.update(zip(new, self.encode_all([x if x[:1] == "\n" else self.lead + x for x in new]), strict=True))
+        if len(self.tails) > TAILS:
+            self.tails.clear()
+        tails = list({x[len(stem) :] for x, stem in tailed.items()}.difference(self.tails))
+        self.tails.update(zip(tails, self.encode_all(tails), strict=True))
+        young.update((x, young[stem] + self.tails[x[len(stem) :]]) for x, stem in tailed.items())
+        return young
+
+    def forget(self, wanted: set[str]) -> None:
+        for x in wanted:
+            if len(x) > LONGEST:
+                self.young.pop(x, None)
 
 
 class ChunkEncoder:
-    """ids of texts as little-endian bytes, by ``encode_all(chunks) -> list of id bytes``, called once for each new chunk."""
+    """ids of texts as little-endian bytes, by ``encode_all(chunks) -> list of id bytes``, called for chunks that aren't known."""
 
     def __init__(self, encode_all: Callable[[list[str]], list[bytes]]):
-        self.encode_all, self.first, self.rest = encode_all, {}, {}
-
-    def _fill(self, known: dict[str, bytes], wanted: set[str], lead: str) -> dict[str, bytes]:
-        """ids of all wanted chunks: the bounded table itself, or a passing copy with long chunks."""
-        new = wanted.difference(known)
-        if not new:
-            return known
-        if len(known) + len(new) > TABLE:
-            known.clear()
-            new = wanted
-        new = list(new)
-        ids = self.encode_all([lead + x for x in new])
-        known.update(zip(new, ids, strict=True))
-        return known
+        self.first, self.rest = Chunks(encode_all, ""), Chunks(encode_all, " ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [x.split(" ") if not IRREGULAR.search(x) else SAFE.split(x) for x in texts]
-        first = self._fill(self.first, {p[0] for p in parts}, "")
-        rest = self._fill(self.rest, set().union(*[p[1:] for p in parts]) if parts else set(), " ")
-        get, out = rest.__getitem__, []
-        for p in parts:
-            head = first[p[0]]
-            out.append(head + b"".join(map(get, p[1:])) if len(p) > 1 else head)
-        for known in (self.first, self.rest):
-            for x in [x for x in known if len(x) > LONGEST]:
-                del known[x]
+        parts = [cut(x) for x in texts]
+        heads, tails = {p[0] for p in parts}, set().union(*[p[1:] for p in parts])
+        first, rest = self.first.of(heads), self.rest.of(tails)
+        get = rest.__getitem__
+        out = [first[p[0]] + b"".join(map(get, p[1:])) for p in parts]
+        self.first.forget(heads)
+        self.rest.forget(tails)
         return out
 
 
+PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+
+def id_bytes(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    n = len(ids)
+    return PACK[n](*ids) if n < len(PACK) else struct.pack(f"<{n}I", *ids)
+
+
 _ENCODERS: dict[tuple, tuple] = {}
 
 
@@ -74,7 +124,7 @@ def tiktoken_encoder(rank_file: str, pattern: str):
         with open(rank_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         enc = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        ids = lambda chunks: [np.asarray(enc.encode_to_numpy(x, disallowed_special=()), "<u4").tobytes() for x in chunks]
+        ids = lambda chunks: [id_bytes(enc.encode_ordinary(x)) for x in chunks]
         _ENCODERS[rank_file, pattern] = enc, ChunkEncoder(ids)
     return _ENCODERS[rank_file, pattern]
 

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import held_out, table
 
 #: Sampled rows of each label, in the order of a hash of doc_id, and the longest text among them in characters.
-PER_LABEL = {1: 2000, 0: 4000}
+PER_LABEL = {1: 1500, 0: 3000}
 SAMPLE_CHARS = 20_000
 #: A feature marks tokens if it stands in so many sampled toxic documents, which are such a share of those it stands in.
 SEED_DOCS, SEED_SHARE = 4, 0.85
@@ -176,19 +176,16 @@ def signature(words: list[str]) -> int:
     return min((zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))), default=0)
 
 
-def seed_features(docs: list[tuple[set[str], int, float]]) -> set[str]:
-    """Features that stand nearly only in toxic documents; shares count each row by its weight."""
-    toxic: Counter = Counter()
-    rows: Counter = Counter()
-    clean: Counter = Counter()
-    for features, label, weight in docs:
-        for f in features:
-            if label:
-                toxic[f] += weight
-                rows[f] += 1
-            else:
-                clean[f] += weight
-    return {f for f, n in rows.items() if n >= SEED_DOCS and toxic[f] >= SEED_SHARE * (toxic[f] + clean[f])}
+def seed_features(texts: list[tuple[str, int]], weight: dict[int, float]) -> set[str]:
+    """Features that stand nearly only in toxic documents; shares count each row by its weight. Only features of several toxic ones are counted in clean ones."""
+    toxic = Counter(f for x, y in texts if y for f in features_of(x))
+    toxic = Counter({f: n for f, n in toxic.items() if n >= SEED_DOCS})
+    clean = Counter(f for x, y in texts if not y for f in features_of(x) if f in toxic)
+    return {f for f, n in toxic.items() if n * weight[1] >= SEED_SHARE * (n * weight[1] + clean[f] * weight[0])}
+
+
+def features_of(text: str) -> set[str]:
+    return {f for w in set(tokens(text)) for f in token_features(w)}
 
 
 def train_crf(windows: list[tuple[list[list[int]], list[int]]], size: int) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
@@ -264,42 +261,41 @@ def fit(rows: list[tuple[str, int]], shares: dict[int, float]) -> Model:
     if not n[0] or not n[1]:
         return Model(None, np.zeros(1), prior)
     weight = {y: shares[y] * len(rows) / n[y] for y in (0, 1)}
-    words = [(tokens(x), y) for x, y in rows]
-    features: dict[str, list[str]] = {}
-    for ws, _ in words:
-        for w in ws:
-            if w not in features:
-                features[w] = token_features(w)
-    # A text that is there many times over says no more of its words than once.
-    apart = {(signature(ws), y): ws for ws, y in words}
-    seeds = seed_features([({f for w in set(ws) for f in features[w]}, y, weight[y]) for (_, y), ws in apart.items()])
-    marked = {w for w, fs in features.items() if seeds.intersection(fs)}
+    # A text that is there many times over says no more of its words than once. Tokens are made again in each pass, so that texts alone are held.
+    apart = {(signature(tokens(x)), y): x for x, y in rows}
+    texts = [(x, y) for (_, y), x in apart.items()]
+    seeds = seed_features(texts, weight)
+    is_marked = lambda w: not seeds.isdisjoint(token_features(w))
+    marked: set[str] = set()
     number: dict[str, int] = {}
     windows = []
     spare = 0
-    for (_, y), ws in apart.items():
+    for x, y in texts:
+        ws = tokens(x)
+        own = {w for w in set(ws) if is_marked(w)}
+        marked |= own
         for at in range(0, len(ws), WINDOW):
             if len(windows) == MOST_WINDOWS:
                 break
             part = ws[at : at + WINDOW]
-            states = [int(y and w in marked) for w in part]
+            states = [int(y and w in own) for w in part]
             # Windows with a marked word always train; of the others a few for each, as they come.
-            if any(w in marked for w in part):
+            if any(w in own for w in part):
                 spare += CLEAN_WINDOWS
             elif spare > 0:
                 spare -= 1
             else:
                 continue
-            windows.append(([[number.setdefault(f, len(number)) for f in features[w]] for w in part], states))
+            windows.append(([[number.setdefault(f, len(number)) for f in token_features(w)] for w in part], states))
     if not marked or not windows:
         return Model(None, np.zeros(1), prior)
     w, bias, trans, start = train_crf(windows, len(number))
     crf = Crf({f: float(w[k]) for f, k in number.items() if w[k] > 0.2 or w[k] < -0.2}, bias, trans, start)
     x = []
-    for ws, _ in words:
-        p = crf.marginals(len(ws), crf.active(ws))
-        x.append(summary(len(ws), p))
-    y = np.array([label for _, label in words], float)
+    for text, _ in rows:
+        ws = tokens(text)
+        x.append(summary(len(ws), crf.marginals(len(ws), crf.active(ws))))
+    y = np.array([label for _, label in rows], float)
     return Model(crf, logistic(np.array(x), y, np.array([weight[int(k)] for k in y])), prior)
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import ChunkEncoder
+from .bpe import ChunkEncoder, id_bytes
 from .common import attempt_id, read_file, scratch, write_file
 
 MAGIC = b"EFTOKEN1"
@@ -122,6 +122,39 @@ def unpack(data: bytes) -> tuple[list[int | None], EliasFano, np.ndarray]:
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
+#: The letter of byte-level alphabets that stands for a space (fixed value).
+SPACE = "\u0120"
+
+
+class Alphabet(dict):
+    """Code point of a letter -> how the library's pre-tokenizer writes its bytes; for str.translate()."""
+
+    def __init__(self, t):
+        self.write = t.pre_tokenizer.pre_tokenize_str
+
+    def __missing__(self, code: int) -> str:
+        self[code] = "".join(x for x, _ in self.write(chr(code)))
+        return self[code]
+
+
+def encode_chunks(t, alphabet: Alphabet, chunks: list[str]) -> list[bytes]:
+    """Ids of each chunk. A space and letters are one word to the library, letters behind a line feed another; its model is asked for such a word directly."""
+    tokenize, out, rest = t.model.tokenize, [], []
+    feed = id_bytes(t.encode("\n", add_special_tokens=False).ids)
+    for x in chunks:
+        w = x[1:]
+        if x[:1] in (" ", "\n") and w.isalpha():
+            w = w if w.isascii() else w.translate(alphabet)
+            out.append(id_bytes([y.id for y in tokenize(SPACE + w)]) if x[0] == " " else feed + id_bytes([y.id for y in tokenize(w)]))
+        else:
+            out.append(b"")
+            rest.append(x)
+    if rest:
+        others = iter([id_bytes(e.ids) for e in t.encode_batch_fast(rest, add_special_tokens=False)])
+        out = [x if x else next(others) for x in out]
+    return out
+
+
 def library_encoder(tokenizer_file: str) -> ChunkEncoder:
     if tokenizer_file not in _ENCODERS:
         import os
@@ -131,7 +164,8 @@ def library_encoder(tokenizer_file: str) -> ChunkEncoder:
 
         t = Tokenizer.from_file(tokenizer_file)
         t.encode_special_tokens = True
-        _ENCODERS[tokenizer_file] = ChunkEncoder(lambda chunks: [np.array(x.ids, "<u4").tobytes() for x in t.encode_batch_fast(chunks, add_special_tokens=False)])
+        alphabet = Alphabet(t)
+        _ENCODERS[tokenizer_file] = ChunkEncoder(lambda chunks: encode_chunks(t, alphabet, chunks))
     return _ENCODERS[tokenizer_file]
 
 
@@ -165,9 +199,9 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, folder: str, end_id: int
         if names:
             yield roll()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     # One row a file, some 16 MB of ids each: the manifest of a data set, not its documents.
-    files = sorted((r.asDict() for r in rows.mapInArrow(run, "part int, seq int, file string, docs long, ids long").toLocalIterator()), key=lambda r: (r["part"], r["seq"]))
+    files = sorted((r.asDict() for r in rows.mapInArrow(run, "part int, seq int, file string, docs long, ids long").collect()), key=lambda r: (r["part"], r["seq"]))
     start = 0
     for r in files:
         r["start"] = start

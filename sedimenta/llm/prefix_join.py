@@ -9,13 +9,14 @@ a shingle of their prefixes.
    sizes one group. Everything up to verification works on groups.
 2. Prefix shingles of groups meet: one shuffle by shingle. Those of a single
    group go.
-3. Star round: each group is paired with few representatives that its shingles
-   name, pairs are verified, and components formed. Large groups of near copies
-   are then mostly one component.
-4. Exact round: pairs of groups that share a shingle and aren't yet in one
-   component are filtered by size and by the overlap that is still possible,
-   given the number of common prefix shingles; members are expanded and
-   verified. Links within a component change nothing, so that none is lost.
+3. Star rounds: each group is paired with the representatives that most of its
+   shingles name, pairs are verified, and components formed. Large groups of near
+   copies are then mostly one component.
+4. Exact round: pairs of groups that aren't yet in one component are filtered by
+   size and place: sets of n and m with a similarity of 0.75 have
+   a = ceil(0.75 (n + m) / 1.75) common shingles, so that they share one among
+   the first n - a + 1 and m - a + 1. Members are expanded and verified. Links
+   within a component change nothing, so that none is lost.
 
 Frequencies: each task counts the shingles of its batches and passes on those in
 at least a share RATE of a batch's documents (two at least); sums over all tasks
@@ -47,10 +48,10 @@ WORDS, PERCENT = 5, 75
 RATE, HEAVY = 0.001, 1 << 17
 #: Bytes of text hashed at a time.
 PIECE = 1 << 20
-#: Partners of a group in the star round.
-PARTNERS = 3
-#: Bits of the filter that names documents whose sets are needed for verification: 2 MB.
-FILTER_BITS = 1 << 24
+#: Star rounds, and partners of a group in each.
+ROUNDS, PARTNERS = 2, 2
+#: Bits of the filters of documents (2 MB) and of shingles that stand in more than one group (16 MB).
+FILTER_BITS, SHINGLE_BITS = 1 << 24, 1 << 27
 
 _RANDOM = np.random.RandomState(5)
 _BYTE = _RANDOM.randint(0, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -172,7 +173,7 @@ def key(data: bytes) -> bytes:
 
 
 def described(docs: DataFrame, order: Order) -> DataFrame:
-    """doc_id, n, g (of size and prefix), s (of the set), prefix for each row."""
+    """doc_id, n, g (of size and prefix), s (of the set) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -182,10 +183,10 @@ def described(docs: DataFrame, order: Order) -> DataFrame:
             yield pa.RecordBatch.from_pydict({
                 "doc_id": b.column("doc_id"), "n": pa.array(sizes, pa.int32()),
                 "g": pa.array([key(n.to_bytes(8, "little") + p.tobytes()) for n, p in zip(sizes, prefixes, strict=True)], pa.binary()),
-                "s": pa.array([key(s.tobytes()) for s in sets], pa.binary()), "prefix": pa.array(prefixes, pa.list_(pa.int64())),
+                "s": pa.array([key(s.tobytes()) for s in sets], pa.binary()),
             })
 
-    return docs.mapInArrow(run, "doc_id long, n int, g binary, s binary, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n int, g binary, s binary")
 
 
 def alike(n: Column, m: Column) -> Column:
@@ -193,6 +194,30 @@ def alike(n: Column, m: Column) -> Column:
     return (100 * F.least(n, m)) >= (PERCENT * F.greatest(n, m))
 
 
+def common(n: Column, m: Column) -> Column:
+    """Shingles that similar sets of n and m have in common at least."""
+    return F.ceil(PERCENT * (n + m) / (100 + PERCENT))
+
+
+class BitFilter:
+    """A set of numbers below ``bits``, as a bit map of fixed size. Numbers that share a bit with a member pass, too: users settle them exactly."""
+
+    def __init__(self, numbers: DataFrame, bits: int):
+        """numbers: one column, ``bit``; Spark builds the maps in parts of 4 KB."""
+        at = F.col("bit") + 1  # Spark numbers bits from 1: part 1 holds 1 to 32768
+        parts = numbers.select(F.bitmap_bucket_number(at).alias("part"), F.bitmap_bit_position(at).alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("map")).collect()
+        self.map = np.zeros(bits // 8, np.uint8)
+        for r in parts:
+            self.map[(r["part"] - 1) * 4096 : r["part"] * 4096] = np.frombuffer(r["map"], np.uint8)
+
+    def has(self, numbers: np.ndarray) -> np.ndarray:
+        return (self.map[numbers >> 3] >> (numbers & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def document_bit(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(FILTER_BITS))
+
+
 class Verifier:
     """Pairs of classes against their whole sets."""
 
@@ -200,80 +225,132 @@ class Verifier:
         self.docs, self.classes = docs, classes
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of pairs(a, b) of classes that link. Sets are made again for the documents needed, which a bit filter of fixed size names."""
+        """Those of pairs(a, b) of classes that link. Sets are made again for the documents needed, which a bit filter names."""
         pairs = materialize(pairs.distinct(), "pairs")
         need = self.classes.join(pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct(), "s", "left_semi")
-        bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1  # noqa: E731  Spark numbers bits from 1: bucket 1 holds 1 to 32768
-        found = need.select(bit(F.col("doc")).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
-        bits = {r["bucket"]: np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little") for r in found}
-        size = 8 * 4096
-        wanted = np.zeros(FILTER_BITS, np.uint8)
-        for k, x in bits.items():
-            wanted[(k - 1) * size : k * size] = x
-        wanted = np.packbits(wanted, bitorder="little")
+        wanted = BitFilter(need.select(document_bit(F.col("doc")).alias("bit")), FILTER_BITS)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                at = np.asarray(b.column("bit")) - 1
-                texts = b.column("text")
-                rows = np.flatnonzero(wanted[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-                sets = shingle_sets(texts.take(pa.array(rows)).to_pylist())
+                rows = np.flatnonzero(wanted.has(np.asarray(b.column("bit"))))
+                sets = shingle_sets(b.column("text").take(pa.array(rows)).to_pylist())
                 yield pa.RecordBatch.from_pydict({"s": pa.array([key(x.tobytes()) for x in sets], pa.binary()), "set": pa.array(sets, pa.list_(pa.int64()))})
 
-        sets = self.docs.select(bit(F.col("doc_id")).alias("bit"), "text").mapInArrow(run, "s binary, set array<long>")
-        sets = materialize(sets.join(need.select("s"), "s", "left_semi").dropDuplicates(["s"]), "sets")
+        sets = self.docs.select(document_bit(F.col("doc_id")).alias("bit"), "text").mapInArrow(run, "s binary, set array<long>")
+        # Both joins are on the set's key, so that Spark shuffles the sets once. Sets that only share a bit with a needed one meet no pair.
         one = pairs.join(sets.select(F.col("s").alias("a"), F.col("set").alias("x")), "a")
         two = one.join(sets.select(F.col("s").alias("b"), F.col("set").alias("y")), "b")
         both = F.size(F.array_intersect("x", "y"))
         return two.where(100 * both >= PERCENT * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
+def postings(docs: DataFrame, classes: DataFrame, order: Order) -> DataFrame:
+    """g, n, shingle, place (from 0) of the prefix shingles that stand in more than one group, one row each.
+
+    Nearly all prefix shingles stand in one group only. A first pass counts bare
+    shingles; a bit filter of those counted twice or more then holds the others
+    back from the shuffle that carries groups. Prefixes are made again from the
+    texts of the groups' first documents, which is cheaper than to store them.
+    """
+    heads = BitFilter(classes.groupBy("g").agg(F.min("doc").alias("doc")).select(document_bit(F.col("doc")).alias("bit")), FILTER_BITS)
+    source = docs.select(document_bit(F.col("doc_id")).alias("bit"), "text")
+
+    def prefixes(b: pa.RecordBatch) -> tuple[list[np.ndarray], list[int]]:
+        own = np.flatnonzero(heads.has(np.asarray(b.column("bit"))))
+        sets = shingle_sets(b.column("text").take(pa.array(own)).to_pylist())
+        return [order.prefix(s) for s in sets], [len(s) for s in sets]
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"shingle": pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes(b)[0]]))})
+
+    counted = source.mapInArrow(shingles, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    twice = BitFilter(counted.select(F.col("shingle").bitwiseAND(SHINGLE_BITS - 1).alias("bit")), SHINGLE_BITS)
+
+    def carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found, sizes = prefixes(b)
+            g = [key(n.to_bytes(8, "little") + p.tobytes()) for n, p in zip(sizes, found, strict=True)]
+            flat = np.concatenate([np.zeros(0, np.int64), *found])
+            at = np.repeat(np.arange(len(found)), [len(p) for p in found])
+            place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(p)) for p in found)])
+            keep = twice.has(flat & (SHINGLE_BITS - 1))
+            to = pa.array(at[keep])
+            yield pa.RecordBatch.from_pydict({"g": pa.array(g, pa.binary()).take(to), "n": pa.array(sizes, pa.int32()).take(to), "shingle": pa.array(flat[keep]), "place": pa.array(place[keep], pa.int32())})
+
+    # A document that isn't its group's first may pass the filter: rows of a group and shingle are made one.
+    return source.mapInArrow(carried, "g binary, n int, shingle long, place int").distinct()
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def labelled(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """classes with the root of each: its own, where it has no link."""
+    return classes.join(found.withColumnRenamed("node", "s"), "s", "left").select("g", "s", "doc", "n", F.coalesce("root", "s").alias("root"))
+
+
+def star(posted: DataFrame, span: DataFrame, head: DataFrame, k: int) -> DataFrame:
+    """Pairs (a, b) of classes: each group's first with those of the representatives that most of its shingles name.
+
+    A shingle names the first of its groups by each of four orders, which stand
+    for chance and are others in each round. The same few groups are named by
+    most shingles of a large group of near copies.
+    """
+    of = Window.partitionBy("shingle")
+    h = F.xxhash64(F.lit(k), "g")
+    h2 = F.xxhash64(F.lit(k + 100), "g")
+    first = {f"r{i}": F.min(F.struct(x.alias("h"), "g", "n")).over(of) for i, x in enumerate((h, F.bitwise_not(h), h2, F.bitwise_not(h2)))}
+    named = posted.select("g", "n", *[x.alias(c) for c, x in first.items()]).select("g", "n", F.explode(F.array(*first)).alias("r"))
+    named = named.where(F.col("g") != F.col("r.g")).groupBy("g", F.col("r.g").alias("r")).agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("r.n").alias("m"))
+    # Both prefixes end with ceil(0.75 n) - 1 shingles to come, of which no more can be common than of the set whose prefix ends first.
+    named = named.where(alike(F.col("n"), F.col("m"))).where(F.col("c") + F.ceil(PERCENT * F.greatest("n", "m") / 100) - 1 >= common(F.col("n"), F.col("m")))
+    if k:
+        named = named.join(span, "g").join(span.select(F.col("g").alias("r"), F.col("low").alias("l"), F.col("high").alias("t")), "r").where("not (low = high and l = t and low = l)")
+    named = named.withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("c"), "r"))).where(F.col("k") <= PARTNERS)
+    return named.join(head.select("g", F.col("head").alias("a")), "g").join(head.select(F.col("g").alias("r"), F.col("head").alias("b")), "r").select("a", "b")
+
+
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs(doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     heavy = frequent(docs).toArrow()
     order = Order(np.array(heavy["shingle"], np.int64), np.array(heavy["n"], np.int64))
-    rows = materialize(described(docs, order), "prefixes")
+    rows = materialize(described(docs, order), "described")
     classes = materialize(rows.where("n > 0").groupBy("g", "s").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n")), "classes")
     verify = Verifier(docs, classes)
 
-    # Shingles of groups: one row of each group, exploded. A shingle's representatives are its least and greatest group, which are hashes and so stand for chance.
-    groups = rows.where("n > 0").groupBy("g").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     of = Window.partitionBy("shingle")
-    posted = groups.select("g", "n", F.explode("prefix").alias("shingle"))
-    posted = posted.withColumn("groups", F.count(F.lit(1)).over(of)).where("groups > 1")
-    posted = posted.withColumn("low", F.min(F.struct("g", "n")).over(of)).withColumn("high", F.max(F.struct("g", "n")).over(of)).drop("groups")
-    posted = materialize(posted, "postings")
-
-    # Star round.
-    named = posted.select("g", "n", F.explode(F.array("low", "high")).alias("r")).where(F.col("g") != F.col("r.g")).where(alike(F.col("n"), F.col("r.n")))
-    named = named.groupBy("g", F.col("r.g").alias("r")).agg(F.count(F.lit(1)).alias("c"))
-    named = named.withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("c"), "r"))).where(F.col("k") <= PARTNERS)
+    posted = postings(docs, classes, order).withColumn("groups", F.count(F.lit(1)).over(of)).where("groups > 1").drop("groups")
+    open_ = materialize(posted, "postings")
     head = classes.groupBy("g").agg(F.min("s").alias("head"), F.count(F.lit(1)).alias("members"))
-    star = named.join(head.select("g", F.col("head").alias("a")), "g").join(head.select(F.col("g").alias("r"), F.col("head").alias("b")), "r").select("a", "b")
     within = classes.join(head.where("members > 1"), "g").where("s != head").select(F.col("s").alias("a"), F.col("head").alias("b"))
-    links = materialize(verify.links(star.union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), "links")
-    found = components(links)
-
-    # Exact round, on groups that aren't of one component.
-    placed = materialize(classes.join(found.withColumnRenamed("node", "s"), "s", "left").select("g", "s", "doc", "n", F.coalesce("root", "s").alias("root")), "placed")
+    placed = classes.select("g", "s", "doc", "n", F.col("s").alias("root"))
     span = placed.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    open_ = posted.drop("low", "high").join(span, "g")
-    open_ = open_.withColumn("least", F.min("low").over(of)).withColumn("most", F.max("high").over(of)).where("least != most").drop("least", "most")
-    open_ = materialize(open_, "open")
+    links = None
+    for k in range(ROUNDS):
+        pairs = star(open_, span, head, k)
+        new = verify.links(ordered(pairs if k else pairs.union(within)))
+        links = materialize(links.union(new) if links is not None else new, "links")
+        # What is of one component goes: a shingle all of whose groups are.
+        placed = materialize(labelled(classes, components(links)), "placed")
+        span = placed.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        open_ = open_.join(span, "g").withColumn("least", F.min("low").over(of)).withColumn("most", F.max("high").over(of))
+        open_ = materialize(open_.where("least != most").drop("least", "most", "low", "high"), "open")
+
+    # Exact round.
+    open_ = open_.join(span, "g")
     x, y = open_.alias("x"), open_.alias("y")
     apart = ~((F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low")))
-    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.g") < F.col("y.g")) & alike(F.col("x.n"), F.col("y.n")) & apart)
-    met = met.groupBy(F.col("x.g").alias("g"), F.col("y.g").alias("h")).agg(F.count(F.lit(1)).alias("c"), F.first("x.n").alias("n"), F.first("y.n").alias("m"))
-    # Of two sets, one prefix ends first in the order; all common shingles up to there are counted, and the rest of that set has ceil(0.75 n) - 1.
-    needed = F.ceil(PERCENT * (F.col("n") + F.col("m")) / (100 + PERCENT))
-    rest = F.ceil(PERCENT * F.greatest("n", "m") / 100) - 1
-    met = met.where(F.col("c") + rest >= needed).select("g", "h")
+    need = common(F.col("x.n"), F.col("y.n"))
+    early = (F.col("x.place") <= F.col("x.n") - need) & (F.col("y.place") <= F.col("y.n") - need)
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.g") < F.col("y.g")) & alike(F.col("x.n"), F.col("y.n")) & early & apart)
+    met = met.select(F.col("x.g").alias("g"), F.col("y.g").alias("h")).distinct()
     met = met.union(span.where("low != high").select("g", F.col("g").alias("h")))
     a, b = placed.select("g", F.col("s").alias("a"), F.col("root").alias("p")), placed.select(F.col("g").alias("h"), F.col("s").alias("b"), F.col("root").alias("q"))
-    more = met.join(a, "g").join(b, "h").where("p != q").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = links.union(verify.links(more))
-    found = components(links)
+    more = met.join(a, "g").join(b, "h").where("p != q").select("a", "b")
+    found = components(links.union(verify.links(ordered(more))))
 
     whole = classes.join(found.withColumnRenamed("node", "s"), "s", "left").select("s", "doc", F.coalesce("root", "s").alias("root"))
     named = whole.groupBy("root").agg(F.min("doc").alias("component_id"))

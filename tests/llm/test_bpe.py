@@ -2,8 +2,11 @@ import hashlib
 import struct
 
 import public_tokenizers as P
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from sedimenta.llm import bpe
 from sedimenta.llm.common import table
+from sedimenta.llm.elias_fano import library_encoder
 
 
 def expected(text):
@@ -35,5 +38,14 @@ def test_small_table_of_chunks(monkeypatch):
     monkeypatch.setattr(bpe, "TABLE", 2)
     monkeypatch.setattr(bpe, "LONGEST", 3)
     e = bpe.ChunkEncoder(lambda chunks: [x.encode("utf-32-le") for x in chunks])
-    for texts in (["a b c", "", "dd ee  f"], ["a b c\n d", " x", "longer words here"]):
+    for texts in (["a b c", "", "dd ee  f"], ["a b c\n d", " x", "longer words here. now, now."], ["a. b, c.", "", "c. .", "a1. b"], ["a\nb. c.\nd e\n", "\na", "a\n\nb", "x\ty z\nw"]):
         assert [x.decode("utf-32-le") for x in e.encode(texts)] == texts
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.lists(st.text(st.sampled_from("ab.,#\n \n '1é\t\u3000X|½\u0301"), max_size=30), max_size=6))
+def test_chunks_give_the_library_ids(texts):
+    enc, chunks = bpe.tiktoken_encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    assert chunks.encode(texts) == [bpe.id_bytes(enc.encode_ordinary(x)) for x in texts]
+    other = library_encoder(P.path("byte_bpe_50k.json"))
+    assert other.encode(texts) == chunks.encode(texts)
