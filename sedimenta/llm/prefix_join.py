@@ -294,14 +294,18 @@ def labelled(classes: DataFrame, found: DataFrame) -> DataFrame:
 def star(posted: DataFrame, span: DataFrame, head: DataFrame, k: int) -> DataFrame:
     """Pairs (a, b) of classes: each group's first with those of the representatives that most of its shingles name.
 
-    A shingle names the first of its groups by each of four orders, which stand
-    for chance and are others in each round. The same few groups are named by
-    most shingles of a large group of near copies.
+    A shingle names the first of its groups by each of five orders. Four stand
+    for chance and are others in each round; the fifth puts first the group
+    whose prefix is shared most, as that of a text that many were edited from.
+    The same few groups are named by most shingles of a large group of near
+    copies.
     """
     of = Window.partitionBy("shingle")
     h = F.xxhash64(F.lit(k), "g")
     h2 = F.xxhash64(F.lit(k + 100), "g")
-    first = {f"r{i}": F.min(F.struct(x.alias("h"), "g", "n")).over(of) for i, x in enumerate((h, F.bitwise_not(h), h2, F.bitwise_not(h2)))}
+    alone = 1 - F.col("shared") / (F.col("n") - F.ceil(PERCENT * F.col("n") / 100) + 1)
+    orders = (F.lit(0.0), h), (F.lit(0.0), F.bitwise_not(h)), (F.lit(0.0), h2), (F.lit(0.0), F.bitwise_not(h2)), (alone, h)
+    first = {f"r{i}": F.min(F.struct(a.alias("alone"), x.alias("h"), "g", "n")).over(of) for i, (a, x) in enumerate(orders)}
     named = posted.select("g", "n", *[x.alias(c) for c, x in first.items()]).select("g", "n", F.explode(F.array(*first)).alias("r"))
     named = named.where(F.col("g") != F.col("r.g")).groupBy("g", F.col("r.g").alias("r")).agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("r.n").alias("m"))
     # Both prefixes end with ceil(0.75 n) - 1 shingles to come, of which no more can be common than of the set whose prefix ends first.
@@ -323,7 +327,7 @@ def join(docs: DataFrame) -> DataFrame:
 
     of = Window.partitionBy("shingle")
     posted = postings(docs, classes, order).withColumn("groups", F.count(F.lit(1)).over(of)).where("groups > 1").drop("groups")
-    open_ = materialize(posted, "postings")
+    open_ = materialize(posted.withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("g"))), "postings")
     head = classes.groupBy("g").agg(F.min("s").alias("head"), F.count(F.lit(1)).alias("members"))
     within = classes.join(head.where("members > 1"), "g").where("s != head").select(F.col("s").alias("a"), F.col("head").alias("b"))
     placed = classes.select("g", "s", "doc", "n", F.col("s").alias("root"))
