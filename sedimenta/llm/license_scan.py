@@ -3,14 +3,14 @@
 The index holds, for the rare words of the licence templates, their places
 (template, position). Document frequencies over the whole corpus give the IDF:
 rare are words in at most a share COMMON of the documents, and in any case a
-template's ANCHORS rarest. Of a file's words in the index the FILE_WORDS of
-highest IDF are looked up; each of their places less a posting's position
-proposes an alignment of that template; alignments with enough words in step
-are verified: mandatory key phrases must stand in them word for word, and the
-share of template words in place must reach a bound.
+template's ANCHORS rarest. All of a file's words in the index are looked up, so
+that no notice crowds out another; each of their places less a posting's
+position proposes an alignment of that template; alignments with enough words in
+step are verified: mandatory key phrases must stand in them word for word, and
+the share of template words in place must reach a bound.
 
 A base phrase is a template whose only key phrase is itself; its rarest word is
-always looked up, so that every place where it stands is found.
+in the index, so that every place where it stands is found.
 
 Defined results: a null or empty text has no words, no places and no labels, and
 score 0; ties in rarity go to the word that comes first in the template;
@@ -50,7 +50,7 @@ NOTICES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software released into the public domain"]),
 ]
 
-COMMON, ANCHORS, FILE_WORDS = 0.05, 4, 16
+COMMON, ANCHORS = 0.05, 4
 #: How many words of a notice must be in step; the share of its words in place that it needs.
 IN_STEP, COVERAGE = 2, 0.6
 
@@ -90,12 +90,8 @@ class Index:
     def __init__(self, rows: int, df: dict[bytes, int]):
         self.idf = {w: math.log((rows + 1) / (df.get(w, 0) + 1)) for w in VOCABULARY}
         self.postings: dict[bytes, list[tuple[int, int]]] = {}
-        #: The rarest words of base phrases.
-        self.needed: set[bytes] = set()
         for t, (_, words, _, base) in enumerate(TEMPLATES):
             rarest = sorted(dict.fromkeys(words), key=lambda w: (-self.idf[w], words.index(w)))
-            if base:
-                self.needed.add(rarest[0])
             for w in rarest[:1] if base else [w for i, w in enumerate(rarest) if i < ANCHORS or df.get(w, 0) <= COMMON * rows]:
                 self.postings.setdefault(w, []).extend((t, i) for i, x in enumerate(words) if x == w)
         self.anchors = frozenset(self.postings)
@@ -103,8 +99,6 @@ class Index:
     def scan(self, words: list[bytes]) -> dict:
         """n_base, first and last place, base labels, all labels, score of a file's words."""
         found = self.anchors.intersection(words)
-        if len(found) > FILE_WORDS:
-            found = set(sorted(found, key=lambda w: (-self.idf[w], w))[:FILE_WORDS]) | found & self.needed
         steps: dict[tuple[int, int], int] = {}
         if found:
             for at, w in enumerate(words):
