@@ -7,13 +7,20 @@ contain it. Of a text, the bits are counted for each language; a filter's false
 positive rate, known from its fill, is taken out: (hits - n * f) / (1 - f). The
 largest corrected count decides.
 
+A share alone is no evidence: some language always leads. The leader's corrected
+count must exceed NOISE standard deviations of the filter's false hits, and a
+least share of the text's trigrams, less SLACK standard deviations, so that short
+texts need less of it. Sampled texts give that share: QUARTER of the way from
+what texts of other languages reach to what the language's own reach.
+
 A trigram is typical of a language if it stands in MIN_DOCS sampled texts of it,
 and in a share of them that is no less than RATIO of its share in any language.
 
 The sample: PER_LANGUAGE labelled rows of each language that aren't held out,
 by the order of a hash of doc_id. Everything else sees whole texts.
 
-Defined results: a null text or one without a letter is ``und`` with score 0;
+Defined results: a null text or one without a letter is ``und`` with score 0; a
+text without evidence keeps the name of the nearest language, with score 0;
 ties go to the language that comes first; if nothing could be learned, all is
 ``und``; repeated rows and null ids stay; further columns are neither read nor
 returned.
@@ -35,6 +42,7 @@ from .common import held_out, materialize
 PER_LANGUAGE = 800
 MIN_DOCS, RATIO = 2, 0.25
 SLOT_BITS, HASHES = 18, 2
+NOISE, SLACK, QUARTER = 3.0, 1.0, 0.25
 #: Code points that are worked on at a time; longer texts go in pieces that see the characters beside them.
 PIECE = 1 << 20
 UND = "und"
@@ -78,6 +86,8 @@ class Filters:
 
     def __init__(self, languages: list[str], typical: list[np.ndarray]):
         self.languages = languages
+        #: The least share of a text's trigrams that must stand in a language's filter; learned from texts.
+        self.least = np.zeros(len(languages))
         self.masks = np.zeros((max(1, -(-len(languages) // 64)), 1 << SLOT_BITS), np.uint64)
         for i, g in enumerate(typical):
             for k in range(HASHES):
@@ -120,13 +130,18 @@ class Filters:
         return n, np.maximum((hits - n[:, None] * self.false_rate) / (1 - self.false_rate), 0)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Language and score of each text; the score is the decided language's share of all corrected counts."""
+        """Language and score of each text; the score is the decided language's share of all corrected counts, and 0 without evidence."""
         n, c = self.counts([x or "" for x in texts])
         if not self.languages:
             return [UND] * len(texts), np.zeros(len(texts))
-        best, total = c.argmax(axis=1), c.sum(axis=1)
-        score = np.where(total > 0, c.max(axis=1) / np.maximum(total, 1e-9), 0.0)
-        return [self.languages[k] if m else UND for k, m in zip(best, n, strict=True)], np.where(n > 0, score, 0.0)
+        best, most, total = c.argmax(axis=1), c.max(axis=1), c.sum(axis=1)
+        score = np.where(total > 0, most / np.maximum(total, 1e-9), 0.0)
+        return [self.languages[k] if m else UND for k, m in zip(best, n, strict=True)], np.where(self.evident(n, best, most), score, 0.0)
+
+    def evident(self, n: np.ndarray, best: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Whether texts of n trigrams with most of them in the filter of language best are of that language, by more than noise."""
+        f, least = self.false_rate[best], self.least[best]
+        return (most > NOISE * np.sqrt(n * f / (1 - f))) & (most >= n * least - SLACK * np.sqrt(n * least * (1 - least)))
 
 
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Filters:
@@ -159,11 +174,27 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Filters:
         own = langs == name
         share[i, np.searchsorted(every, found[own])] = n[own] / texts[name]
     most = share.max(axis=0, initial=0)
-    return Filters(names, [every[(s > 0) & (s >= RATIO * most)].astype(np.uint64) for s in share])
+    filters = Filters(names, [every[(s > 0) & (s >= RATIO * most)].astype(np.uint64) for s in share])
+
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lang = b.column("lang").to_pylist()
+            n, c = filters.counts(b.column("text").to_pylist())
+            part, at, rows = c / np.maximum(n, 1)[:, None], np.array([names.index(x) for x in lang], np.int64), np.arange(len(lang))
+            own = part[rows, at]
+            part[rows, at] = 0.0
+            yield pa.RecordBatch.from_pydict({"lang": pa.array(lang, pa.string()), "own": pa.array(own, pa.float64()), "other": pa.array(part.max(axis=1), pa.float64())}).filter(pa.array(n > 0))
+
+    shares = known.join(chosen, ["doc_id", "lang"], "left_semi").select("lang", "text").mapInArrow(reached, "lang string, own double, other double")
+    # A row a language: what half of its texts reach in its own filter, and in the best of the others.
+    medians = {r["lang"]: r for r in shares.groupBy("lang").agg(F.percentile_approx("own", 0.5).alias("own"), F.percentile_approx("other", 0.5).alias("other")).collect()}
+    foreign = max((r["other"] for r in medians.values()), default=0.0)
+    filters.least = np.array([foreign + QUARTER * max(medians[x]["own"] - foreign, 0.0) if x in medians else 0.0 for x in names])
+    return filters
 
 
 def accepted_udf(filters: Filters):
-    """A column function of texts: whether the text is of some language. Those without a letter are not, nor those whose corrected counts are an even split."""
+    """A column function of texts: whether the text is of some language. Those without a letter or without evidence are not, nor those whose corrected counts are an even split."""
     least = 1.0 / max(2, len(filters.languages))
 
     @F.pandas_udf("boolean")

@@ -70,3 +70,33 @@ def test_nothing_to_learn(odd):
     from pyspark.sql import functions as F
 
     assert {(r["lang_pred"], r["score"]) for r in lb.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {("und", 0.0)}
+
+
+FOREIGN = [
+    "La mattina dopo il ragazzo uscì di casa presto e camminò lungo il fiume fino al vecchio ponte di pietra dove lo aspettava suo fratello con il cane.",
+    "Rano wyszedł z domu i poszedł wzdłuż rzeki aż do starego kamiennego mostu, gdzie czekał na niego brat z psem.",
+    "Утром мальчик вышел из дома и пошёл вдоль реки к старому мосту, где его ждал брат с собакой.",
+    "Wat een mooie dag om met de hond langs de rivier te wandelen en daarna samen koffie te drinken in de oude stad.",
+]
+
+
+def test_foreign_and_junk_texts_go(spark):
+    from pyspark.sql import functions as F
+    from sedimenta.llm import stages
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents", "doc_id", "text", "lang")
+    random = np.random.RandomState(1)
+    junk = [" ".join("".join(map(chr, random.randint(97, 123, random.randint(3, 10)))) for _ in range(k)) for k in (12, 200, 2000)]
+    planted = spark.createDataFrame([(-1 - i, x, None) for i, x in enumerate(junk + FOREIGN)], docs.schema)
+    kept = {r["doc_id"] for r in stages.of_a_language(docs.unionByName(planted)).select("doc_id").collect()}
+    assert not [i for i in kept if i < 0]
+    # Of the labelled texts with a letter, nearly all stay, short ones included.
+    clean = {r["doc_id"] for r in docs.where(F.col("text").rlike("[a-z]")).collect()}
+    assert len(clean & kept) > 0.995 * len(clean)
+
+
+def test_evidence_depends_on_length():
+    f = filters()
+    f.least = np.full(3, 0.5)
+    assert f.evident(np.array([4, 400]), np.array([0, 0]), np.array([1.0, 100.0])).tolist() == [True, False]
+    assert f.evident(np.array([4, 400]), np.array([0, 0]), np.array([0.0, 250.0])).tolist() == [False, True]
