@@ -9,9 +9,8 @@ maximum go through a logistic regression, fitted on the sample with weights
 that restore the share of toxic rows, to a document score. Runs of tokens with
 a marginal of a half or more are the offending spans.
 
-Most words carry no feature of weight and have one and the same emission. Runs
-of these are passed by powers of one 2 x 2 matrix, so that a text costs its few
-other tokens; results equal those of the step-by-step recursion.
+All weights and all tokens count: with two states, the recursions need one ratio
+a token, so that a text is passed in two runs over floats.
 
 Defined results: a null text counts as empty; empty texts get the score that the
 regression gives to no toxic tokens; without labels of both kinds every score is
@@ -44,10 +43,8 @@ SEED_DOCS, SEED_SHARE = 4, 0.85
 PREFIXES = (3, 4, 5, 6)
 #: Training: tokens of a window, windows without a toxic token for each with one, steps, step size, L2.
 WINDOW, CLEAN_WINDOWS, STEPS, RATE, L2 = 32, 2, 60, 0.3, 1e-4
-#: Windows of a training set at most, in the order of the sample.
+#: Windows of a training set, in the order of a hash; only windows that a text or a seed feature has no other of may exceed it.
 MOST_WINDOWS = 6000
-#: Emissions up to so much above that of a word without features are taken as equal to it.
-NEUTRAL = 1.0
 #: Entries of a worker's table of words.
 TABLE = 200_000
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
@@ -68,69 +65,39 @@ class Crf:
 
     def __init__(self, weights: dict[str, float], bias: float, trans: np.ndarray, start: np.ndarray):
         self.weights, self.bias, self.trans, self.start = weights, bias, trans, start
+        #: exp of the emission of words.
         self.known: dict[str, float] = {}
-        #: Those of the known words that aren't neutral.
-        self.loud: dict[str, float] = {}
-        base = np.exp(trans) * np.exp([0.0, bias])
-        self.values, vectors = np.linalg.eig(base)
-        self.values = self.values / abs(self.values).max()
-        self.vectors, self.inverse = vectors, np.linalg.inv(vectors)
 
     def emission(self, token: str) -> float:
-        """Of a token: the bias, or more if its features have weight."""
-        e = sum(self.weights.get(f, 0.0) for f in token_features(token))
-        return self.bias + (e if e > NEUTRAL else 0.0)
+        """Of a token: the bias and the weights of its features."""
+        return self.bias + sum(self.weights.get(f, 0.0) for f in token_features(token))
 
     def active(self, words: list[str]) -> list[tuple[int, float]]:
-        """Places and emissions of the tokens whose emission isn't the neutral one."""
-        distinct, known = set(words), self.known
-        if new := distinct.difference(known):
+        """Places of all tokens with exp of their emissions."""
+        known = self.known
+        if new := set(words).difference(known):
             if len(known) + len(new) > TABLE:
                 known.clear()
-                self.loud.clear()
-                new = distinct
+                new = set(words)
             for w in new:
-                known[w] = self.emission(w)
-                if known[w] != self.bias:
-                    self.loud[w] = known[w]
-        if self.loud.keys().isdisjoint(distinct):
-            return []
-        return [(i, self.loud[w]) for i, w in enumerate(words) if w in self.loud]
-
-    def run(self, n: int) -> np.ndarray:
-        """The n-th power of the step over a neutral token, scaled."""
-        return ((self.vectors * self.values**n) @ self.inverse).real
+                known[w] = math.exp(max(-50.0, min(self.emission(w), 50.0)))
+        return [(i, known[w]) for i, w in enumerate(words)]
 
     def marginals(self, n: int, active: list[tuple[int, float]]) -> list[float]:
-        """P(toxic) of each active token among n tokens."""
-        if not active:
+        """P(toxic) of each of n tokens: forward and backward ratios of state 1 to state 0."""
+        if not n:
             return []
-        step = np.exp(self.trans)
-        # forward: a row vector before the emission of the next active token
-        forward, at, v = [], -1, None
-        for i, e in active:
-            if v is None:
-                v = np.exp(self.start)
-                if i:
-                    v = (v * np.exp([0.0, self.bias])) @ self.run(i - 1) @ step
-            else:
-                v = v @ self.run(i - at - 1) @ step
-            v = v * [1.0, math.exp(min(e, 50.0))]
-            v = v / v.sum()
-            forward.append(v)
-            at = i
-        out: list[float] = []
-        u, at = np.ones(2), n
-        for k in range(len(active) - 1, -1, -1):
-            i, _ = active[k]
-            if at == n:
-                u = self.run(n - 1 - i) @ np.ones(2)
-            else:
-                u = self.run(at - i - 1) @ (step @ (u * [1.0, math.exp(min(active[k + 1][1], 50.0))]))
-            u = u / u.sum()
-            p = forward[k] * u
-            out.append(float(p[1] / p.sum()))
-            at = i
+        (t00, t01), (t10, t11) = np.exp(self.trans - self.trans.max()).tolist()
+        forward, r = [], None
+        for _, x in active:
+            r = x * math.exp(self.start[1] - self.start[0]) if r is None else x * (t01 + t11 * r) / (t00 + t10 * r)
+            forward.append(r)
+        out, b = [], 1.0
+        for k in range(n - 1, -1, -1):
+            q = forward[k] * b
+            out.append(q / (1.0 + q))
+            y = active[k][1] * b
+            b = (t10 + t11 * y) / (t00 + t01 * y)
         return out[::-1]
 
 
@@ -145,7 +112,7 @@ class Model:
         self.crf, self.coefficients, self.prior = crf, coefficients, prior
 
     def of(self, text: str | None) -> tuple[float, list[tuple[int, float]]]:
-        """Score of a document, and marginals of its active tokens by place."""
+        """Score of a document, and marginals of its tokens by place."""
         if self.crf is None:
             return self.prior, []
         words = tokens(text)
@@ -254,6 +221,40 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60)
     return c
 
 
+def choose_windows(texts: list[str], seeds: set[str], is_marked) -> list[tuple[int, int]]:
+    """(text, first token) of the windows to train on, [] if none is marked.
+
+    By a hash of text and place: of each text, and of each seed feature, the first window with a marked word, whatever the
+    bound; then others with marked words, and CLEAN_WINDOWS without for each of them, within MOST_WINDOWS.
+    """
+    marked: list[tuple[int, int, int]] = []
+    clean: list[tuple[int, int, int]] = []
+    for k, x in enumerate(texts):
+        ws = tokens(x)
+        own = {w for w in set(ws) if is_marked(w)}
+        sign = signature(ws)
+        for at in range(0, len(ws), WINDOW):
+            h = zlib.crc32(f"{sign} {at}".encode())
+            (clean if own.isdisjoint(ws[at : at + WINDOW]) else marked).append((h, k, at))
+        if len(clean) > 4 * MOST_WINDOWS:
+            clean = sorted(clean)[:MOST_WINDOWS]
+    marked.sort()
+    first: list[tuple[int, int]] = []
+    rest: list[tuple[int, int]] = []
+    seen_texts: set[int] = set()
+    seen: set[str] = set()
+    for _, k, at in marked:
+        own_seeds = {f for w in set(tokens(texts[k])[at : at + WINDOW]) for f in token_features(w)} & seeds
+        (rest if k in seen_texts and own_seeds <= seen else first).append((k, at))
+        seen_texts.add(k)
+        seen |= own_seeds
+    # Room for marked windows: their part of the bound, and what clean ones leave.
+    room = max(MOST_WINDOWS // (1 + CLEAN_WINDOWS), MOST_WINDOWS - len(clean))
+    first += rest[: max(0, room - len(first))]
+    more = min(CLEAN_WINDOWS * len(first), max(MOST_WINDOWS - len(first), MOST_WINDOWS // 2))
+    return first + [(k, at) for _, k, at in sorted(clean)[:more]] if first else []
+
+
 def fit(rows: list[tuple[str, int]], shares: dict[int, float]) -> Model:
     """A model of sampled (text, label); shares: of each label among all labelled rows that aren't held out."""
     prior = shares.get(1, 0.0)
@@ -266,31 +267,17 @@ def fit(rows: list[tuple[str, int]], shares: dict[int, float]) -> Model:
     texts = [(x, y) for (_, y), x in apart.items()]
     seeds = seed_features(texts, weight)
     is_marked = lambda w: not seeds.isdisjoint(token_features(w))
-    marked: set[str] = set()
+    chosen = choose_windows([x for x, _ in texts], seeds, is_marked)
+    if not chosen:
+        return Model(None, np.zeros(1), prior)
     number: dict[str, int] = {}
     windows = []
-    spare = 0
-    for x, y in texts:
-        ws = tokens(x)
-        own = {w for w in set(ws) if is_marked(w)}
-        marked |= own
-        for at in range(0, len(ws), WINDOW):
-            if len(windows) == MOST_WINDOWS:
-                break
-            part = ws[at : at + WINDOW]
-            states = [int(y and w in own) for w in part]
-            # Windows with a marked word always train; of the others a few for each, as they come.
-            if any(w in own for w in part):
-                spare += CLEAN_WINDOWS
-            elif spare > 0:
-                spare -= 1
-            else:
-                continue
-            windows.append(([[number.setdefault(f, len(number)) for f in token_features(w)] for w in part], states))
-    if not marked or not windows:
-        return Model(None, np.zeros(1), prior)
+    for k, at in chosen:
+        x, y = texts[k]
+        part = tokens(x)[at : at + WINDOW]
+        windows.append(([[number.setdefault(f, len(number)) for f in token_features(w)] for w in part], [int(y and is_marked(w)) for w in part]))
     w, bias, trans, start = train_crf(windows, len(number))
-    crf = Crf({f: float(w[k]) for f, k in number.items() if w[k] > 0.2 or w[k] < -0.2}, bias, trans, start)
+    crf = Crf({f: float(w[k]) for f, k in number.items()}, bias, trans, start)
     x = []
     for text, _ in rows:
         ws = tokens(text)

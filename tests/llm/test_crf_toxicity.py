@@ -80,3 +80,30 @@ def test_planted_documents(spark, sf):
     for i, _ in toxic:
         if got[i]["predicted"]:
             assert any("grumblefoo" in text[i][s["first"] : s["end"]].lower() or "snarkle" in text[i][s["first"] : s["end"]].lower() for s in got[i]["spans"])
+
+
+def test_all_tokens_and_weights_count():
+    """Weights below and above zero, of whatever size, and neighbours of toxic tokens count as in the sum over all state sequences."""
+    words = ct.tokens("well bar bad it well awful x")
+    assert CRF.emission("well") == -6.0 and ct.Crf({"bar": 0.5}, -3.0, CRF.trans, CRF.start).emission("bars") == -2.5
+    p = CRF.marginals(len(words), CRF.active(words))
+    assert len(p) == len(words) and np.allclose(p, brute(words))
+    sticky = ct.Crf({"=bad": 9.0}, -1.0, np.array([[1.0, -2.0], [-2.0, 3.0]]), np.zeros(2))
+    text = "bad it bad"
+    assert [text[a:b] for a, b, _ in ct.Model(sticky, np.zeros(5), 0.1).spans(text)] == [text]
+
+
+def test_windows_are_no_prefix(monkeypatch):
+    """Each toxic text and each seed word keeps windows, wherever the texts stand, when there are many more than the bound."""
+    monkeypatch.setattr(ct, "MOST_WINDOWS", 120)
+    fill = lambda i, k: " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + j % 26)}x" for j in range(k))
+    texts = [" ".join(f"{fill(i + j, 31)} {'early' if i < 60 else 'latter'}bad" for j in range(5)) + " " + fill(i, 160) for i in range(80)]
+    seeds = {"=earlybad", "=latterbad"}
+    is_marked = lambda w: f"={w}" in seeds
+    chosen = ct.choose_windows(texts, seeds, is_marked)
+    marked = [(k, at) for k, at in chosen if any(is_marked(w) for w in ct.tokens(texts[k])[at : at + ct.WINDOW])]
+    assert {k for k, _ in marked} == set(range(80)) and len(chosen) > len(marked) and len(set(chosen)) == len(chosen)
+    rows = [(x, 1) for x in texts] + [(fill(i, 200), 0) for i in range(80, 160)]
+    model = ct.fit(rows, {0: 0.5, 1: 0.5})
+    assert all(model.crf.weights.get(f, 0.0) > 1 for f in seeds)
+    assert model.of(texts[0])[0] > 0.5 and model.of(texts[79])[0] > 0.5 > model.of(rows[-1][0])[0]
