@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,12 +20,32 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches of this session; results don't depend on it."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    """Bound the Arrow batches of a session that sets no bounds of its own; results don't depend on them.
+
+    They must hold when the caller runs the DataFrame, so that they stay set.
+    """
+    own = spark.conf.getAll
+    for name, value in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        if f"spark.sql.execution.arrow.{name}" not in own:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
     return spark
 
 
+#: Shuffle files go when the statement that wrote them ends, not when the driver's JVM comes to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session's setting for the length of a block."""
+    before = spark.conf.getAll.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Columns of a Parquet table of ``sf_dir``, all rows."""
     df = tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
@@ -49,9 +71,19 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read again, so that a lost executor costs a reread only."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    with setting(spark, CLEANUP, "true"):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
-
+from .common import discard, materialize
 
 FILE_EDGES = 500_000
 
@@ -29,6 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
         up = labels.select(F.col("node").alias("mid"), F.col("root").alias("above"))
         new = new.join(up, "mid", "left").select("node", "was", F.least("mid", "above").alias("root"))
         new = materialize(new.coalesce(files), "labels")
+        discard(labels)
         if new.where("root != was").isEmpty():
+            discard(both)
             return new.select("node", "root")
         labels = new.select("node", "root")

@@ -9,14 +9,17 @@ a shingle of their prefixes.
    sizes one group. Everything up to verification works on groups.
 2. Prefix shingles of groups meet: one shuffle by shingle. Those of a single
    group go.
-3. Star rounds: each group is paired with the representatives that most of its
-   shingles name, pairs are verified, and components formed. Large groups of near
-   copies are then mostly one component.
-4. Exact round: pairs of groups that aren't yet in one component are filtered by
-   size and place: sets of n and m with a similarity of 0.75 have
-   a = ceil(0.75 (n + m) / 1.75) common shingles, so that they share one among
-   the first n - a + 1 and m - a + 1. Members are expanded and verified. Links
-   within a component change nothing, so that none is lost.
+3. Star rounds over the shingles of more than SMALL groups: each group is paired
+   with the representatives that most of its shingles name, pairs are verified,
+   and components formed. Large groups of near copies are then mostly one
+   component.
+4. Exact round over all shingles: pairs of groups that aren't yet in one component
+   are filtered by size, place and count. Sets of n and m with a similarity of
+   0.75 have a = ceil(0.75 (n + m) / 1.75) common shingles, so that they share
+   t + 1 among the first n - a + 1 + t and m - a + 1 + t: of the others at most
+   a - 1 - t can be common. t is MORE, or less where prefixes are shorter. Members
+   are expanded and verified. Links within a component change nothing, and pairs
+   that were verified before need no second look, so that no link is lost.
 
 Frequencies: each task counts the shingles of its batches and passes on those in
 at least a share RATE of a batch's documents (two at least); sums over all tasks
@@ -24,6 +27,13 @@ give the order. A shingle in a share RATE of all documents is thereby found; at
 most HEAVY of them, the most frequent, are broadcast. Any order gives the same
 result; frequencies only save work.
 
+A shingle that a large part of all groups have is never one task's work: minima
+and counts by shingle are partial before the shuffle, and are joined back by
+joins that AQE splits. In the exact round, groups of the component that holds
+most of a shingle's groups meet the other groups only.
+
+Very long texts are hashed in pieces of PIECE bytes; their sets are held whole.
+
 Defined results: a text without words or null has no shingles, and is its own
 component; fewer than five words count as one shingle; repeated rows are
 documents of their own with one id; null ids link like others but never name a
@@ -34,6 +44,7 @@ returned.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,15 +52,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 from .components import components
 
 WORDS, PERCENT = 5, 75
 RATE, HEAVY = 0.001, 1 << 17
-#: Bytes of text hashed at a time.
-PIECE = 1 << 20
+#: Bytes of text hashed at a time (about 50 times as many in memory), and bytes of the longest word whose factors a worker keeps.
+PIECE, KEPT = 1 << 18, 1 << 12
 #: Star rounds, and partners of a group in each.
 ROUNDS, PARTNERS = 2, 2
+#: Groups of a shingle that the exact round pairs without a star round; shingles beyond the shortest prefixes that it looks at.
+SMALL, MORE = 4, 32
 #: Bits of the filters of documents (2 MB) and of shingles that stand in more than one group (16 MB).
 FILTER_BITS, SHINGLE_BITS = 1 << 24, 1 << 27
 
@@ -59,15 +72,16 @@ _PLACE = _RANDOM.randint(0, 1 << 63, WORDS, dtype=np.int64).astype(np.uint64) *
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_POWERS = [np.ones(1, np.uint64)]
+_POWERS = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(KEPT - 1, _BASE)]))
+_SEPARATOR = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def powers(n: int) -> np.ndarray:
-    """_BASE to the powers 0 to n - 1, modulo 2 ** 64."""
-    while len(_POWERS[0]) < n:
-        p = _POWERS[0]
-        _POWERS[0] = np.concatenate([p, p * (p[-1:] * _BASE)])
-    return _POWERS[0]
+    """_BASE to the powers 0 to n - 1 (or more), modulo 2 ** 64."""
+    out = _POWERS
+    while len(out) < n:
+        out = np.concatenate([out, out * (out[-1:] * _BASE)])
+    return out
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -77,7 +91,18 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and first bytes of the words of data."""
+    """Hashes and first bytes of the words of data, by pieces that end where a word does."""
+    found, start = [], 0
+    while start < len(data):
+        cut = _SEPARATOR.search(data, start + PIECE)
+        end = cut.start() if cut else len(data)
+        h, at = piece_hashes(data[start:end])
+        found.append((h, at + start))
+        start = end
+    return tuple(np.concatenate(x) for x in zip((np.zeros(0, np.uint64), np.zeros(0, np.int64)), *found, strict=True))
+
+
+def piece_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     a = np.frombuffer(data, np.uint8)
     inside = ~_SPACE[a]
     at = np.flatnonzero(inside)
@@ -199,6 +224,10 @@ def common(n: Column, m: Column) -> Column:
     return F.ceil(PERCENT * (n + m) / (100 + PERCENT))
 
 
+def prefix_length(n: Column) -> Column:
+    return n - F.ceil(PERCENT * n / 100) + 1
+
+
 class BitFilter:
     """A set of numbers below ``bits``, as a bit map of fixed size. Numbers that share a bit with a member pass, too: users settle them exactly."""
 
@@ -226,15 +255,17 @@ class Verifier:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of pairs(a, b) of classes that link. Sets are made again for the documents needed, which a bit filter names."""
-        pairs = materialize(pairs.distinct(), "pairs")
         need = self.classes.join(pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct(), "s", "left_semi")
         wanted = BitFilter(need.select(document_bit(F.col("doc")).alias("bit")), FILTER_BITS)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[bytes] = set()
             for b in batches:
                 rows = np.flatnonzero(wanted.has(np.asarray(b.column("bit"))))
-                sets = shingle_sets(b.column("text").take(pa.array(rows)).to_pylist())
-                yield pa.RecordBatch.from_pydict({"s": pa.array([key(x.tobytes()) for x in sets], pa.binary()), "set": pa.array(sets, pa.list_(pa.int64()))})
+                sets = {key(x.tobytes()): x for x in shingle_sets(b.column("text").take(pa.array(rows)).to_pylist())}
+                sets = {k: x for k, x in sets.items() if k not in seen}
+                seen.update(sets)
+                yield pa.RecordBatch.from_pydict({"s": pa.array(list(sets), pa.binary()), "set": pa.array(list(sets.values()), pa.list_(pa.int64()))})
 
         sets = self.docs.select(document_bit(F.col("doc_id")).alias("bit"), "text").mapInArrow(run, "s binary, set array<long>")
         # Both joins are on the set's key, so that Spark shuffles the sets once. Sets that only share a bit with a needed one meet no pair.
@@ -291,29 +322,57 @@ def labelled(classes: DataFrame, found: DataFrame) -> DataFrame:
     return classes.join(found.withColumnRenamed("node", "s"), "s", "left").select("g", "s", "doc", "n", F.coalesce("root", "s").alias("root"))
 
 
-def star(posted: DataFrame, span: DataFrame, head: DataFrame, k: int) -> DataFrame:
+def star(big: DataFrame, span: DataFrame, head: DataFrame, tried: DataFrame | None, k: int) -> DataFrame:
     """Pairs (a, b) of classes: each group's first with those of the representatives that most of its shingles name.
 
     A shingle names the first of its groups by each of five orders. Four stand
     for chance and are others in each round; the fifth puts first the group
     whose prefix is shared most, as that of a text that many were edited from.
     The same few groups are named by most shingles of a large group of near
-    copies.
+    copies. Each task finds the first groups of its own rows before the shuffle.
     """
-    of = Window.partitionBy("shingle")
-    h = F.xxhash64(F.lit(k), "g")
-    h2 = F.xxhash64(F.lit(k + 100), "g")
-    alone = 1 - F.col("shared") / (F.col("n") - F.ceil(PERCENT * F.col("n") / 100) + 1)
+    h, h2 = F.xxhash64(F.lit(k), "g"), F.xxhash64(F.lit(k + 100), "g")
+    alone = 1 - F.col("shared") / prefix_length(F.col("n"))
     orders = (F.lit(0.0), h), (F.lit(0.0), F.bitwise_not(h)), (F.lit(0.0), h2), (F.lit(0.0), F.bitwise_not(h2)), (alone, h)
-    first = {f"r{i}": F.min(F.struct(a.alias("alone"), x.alias("h"), "g", "n")).over(of) for i, (a, x) in enumerate(orders)}
-    named = posted.select("g", "n", *[x.alias(c) for c, x in first.items()]).select("g", "n", F.explode(F.array(*first)).alias("r"))
-    named = named.where(F.col("g") != F.col("r.g")).groupBy("g", F.col("r.g").alias("r")).agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("r.n").alias("m"))
+    first = [F.min(F.struct(a.alias("alone"), x.alias("h"), "g", "n")).alias(f"r{i}") for i, (a, x) in enumerate(orders)]
+    reps = big.groupBy("shingle").agg(*first).select("shingle", F.array_distinct(F.array(*[F.struct(f"r{i}.g", f"r{i}.n") for i in range(len(orders))])).alias("reps"))
+    named = big.join(reps, "shingle").select("g", "n", F.explode("reps").alias("r")).where(F.col("g") != F.col("r.g"))
+    named = named.groupBy("g", F.col("r.g").alias("r")).agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("r.n").alias("m"))
     # Both prefixes end with ceil(0.75 n) - 1 shingles to come, of which no more can be common than of the set whose prefix ends first.
     named = named.where(alike(F.col("n"), F.col("m"))).where(F.col("c") + F.ceil(PERCENT * F.greatest("n", "m") / 100) - 1 >= common(F.col("n"), F.col("m")))
     if k:
         named = named.join(span, "g").join(span.select(F.col("g").alias("r"), F.col("low").alias("l"), F.col("high").alias("t")), "r").where("not (low = high and l = t and low = l)")
     named = named.withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("c"), "r"))).where(F.col("k") <= PARTNERS)
-    return named.join(head.select("g", F.col("head").alias("a")), "g").join(head.select(F.col("g").alias("r"), F.col("head").alias("b")), "r").select("a", "b")
+    pairs = named.join(head.select("g", F.col("head").alias("a")), "g").join(head.select(F.col("g").alias("r"), F.col("head").alias("b")), "r")
+    pairs = ordered(pairs)
+    return pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs
+
+
+def unsettled(big: DataFrame, span: DataFrame) -> DataFrame:
+    """Rows of shingles whose groups aren't all of one component, with low and high, the least and the most root of the row's group."""
+    placed = big.join(span, "g")
+    mixed_ = placed.groupBy("shingle").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least != most").select("shingle")
+    return placed.join(mixed_, "shingle")
+
+
+def inner(big: DataFrame) -> DataFrame:
+    """big with inner: whether a group lies whole in the component that holds most of its shingle's groups."""
+    roots = big.where("low = high").groupBy("shingle", "low").agg(F.count(F.lit(1)).alias("c"))
+    most = roots.groupBy("shingle").agg(F.max(F.struct("c", "low")).alias("x")).select("shingle", F.col("x.low").alias("most"))
+    return big.join(most, "shingle", "left").withColumn("inner", F.coalesce((F.col("low") == F.col("high")) & (F.col("low") == F.col("most")), F.lit(False))).drop("most")
+
+
+def met(open_: DataFrame) -> DataFrame:
+    """Pairs (g, h) of groups that share as many of their first shingles as similar sets must; open_: g, n, shingle, place, low, high, inner."""
+    x, y = open_.where("not inner").alias("x"), open_.alias("y")
+    apart = ~((F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low")))
+    n, m = F.col("x.n"), F.col("y.n")
+    need = common(n, m)
+    more = F.least(F.lit(MORE), prefix_length(n) - (n - need + 1), prefix_length(m) - (m - need + 1))
+    early = (F.col("x.place") <= n - need + more) & (F.col("y.place") <= m - need + more)
+    both = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("y.inner") | (F.col("x.g") < F.col("y.g"))) & alike(n, m) & early & apart)
+    pairs = both.select(F.least("x.g", "y.g").alias("g"), F.greatest("x.g", "y.g").alias("h"), more.cast("int").alias("more"))
+    return pairs.groupBy("g", "h").agg(F.count(F.lit(1)).alias("c"), F.first("more").alias("more")).where("c > more").select("g", "h")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -324,37 +383,42 @@ def join(docs: DataFrame) -> DataFrame:
     rows = materialize(described(docs, order), "described")
     classes = materialize(rows.where("n > 0").groupBy("g", "s").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n")), "classes")
     verify = Verifier(docs, classes)
-
-    of = Window.partitionBy("shingle")
-    posted = postings(docs, classes, order).withColumn("groups", F.count(F.lit(1)).over(of)).where("groups > 1").drop("groups")
-    open_ = materialize(posted.withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("g"))), "postings")
-    head = classes.groupBy("g").agg(F.min("s").alias("head"), F.count(F.lit(1)).alias("members"))
+    head = materialize(classes.groupBy("g").agg(F.min("s").alias("head"), F.count(F.lit(1)).alias("members")), "heads")
     within = classes.join(head.where("members > 1"), "g").where("s != head").select(F.col("s").alias("a"), F.col("head").alias("b"))
-    placed = classes.select("g", "s", "doc", "n", F.col("s").alias("root"))
+
+    posted = materialize(postings(docs, classes, order), "postings")
+    counts = posted.groupBy("shingle").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    shared = materialize(posted.join(counts, "shingle"), "shared")
+    discard(posted)
+    small = shared.where(F.col("groups") <= SMALL).drop("groups")
+    big = materialize(shared.where(F.col("groups") > SMALL).drop("groups").withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("g"))), "big")
+    placed, links, tried = classes.select("g", "s", "doc", "n", F.col("s").alias("root")), None, None
     span = placed.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    links = None
     for k in range(ROUNDS):
-        pairs = star(open_, span, head, k)
-        new = verify.links(ordered(pairs if k else pairs.union(within)))
+        pairs = star(big, span, head, tried, k)
+        pairs = materialize((pairs if k else pairs.union(ordered(within))).distinct(), "pairs")
+        old = [x for x in (links, tried, placed if k else None, big) if x is not None]
+        new = verify.links(pairs)
         links = materialize(links.union(new) if links is not None else new, "links")
+        tried = materialize(tried.union(pairs) if tried is not None else pairs, "tried")
         # What is of one component goes: a shingle all of whose groups are.
-        placed = materialize(labelled(classes, components(links)), "placed")
+        found = components(links)
+        placed = materialize(labelled(classes, found), "placed")
         span = placed.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        open_ = open_.join(span, "g").withColumn("least", F.min("low").over(of)).withColumn("most", F.max("high").over(of))
-        open_ = materialize(open_.where("least != most").drop("least", "most", "low", "high"), "open")
+        big = materialize(unsettled(big, span).drop("low", "high"), "big")
+        discard(pairs, found, *old)
 
     # Exact round.
-    open_ = open_.join(span, "g")
-    x, y = open_.alias("x"), open_.alias("y")
-    apart = ~((F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low")))
-    need = common(F.col("x.n"), F.col("y.n"))
-    early = (F.col("x.place") <= F.col("x.n") - need) & (F.col("y.place") <= F.col("y.n") - need)
-    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.g") < F.col("y.g")) & alike(F.col("x.n"), F.col("y.n")) & early & apart)
-    met = met.select(F.col("x.g").alias("g"), F.col("y.g").alias("h")).distinct()
-    met = met.union(span.where("low != high").select("g", F.col("g").alias("h")))
+    span = materialize(span, "span")
+    open_ = small.join(span, "g").withColumn("inner", F.lit(False)).unionByName(inner(big.drop("shared").join(span, "g")))
+    open_ = materialize(open_, "open")
+    pairs = met(open_).union(span.where("low != high").select("g", F.col("g").alias("h")))
     a, b = placed.select("g", F.col("s").alias("a"), F.col("root").alias("p")), placed.select(F.col("g").alias("h"), F.col("s").alias("b"), F.col("root").alias("q"))
-    more = met.join(a, "g").join(b, "h").where("p != q").select("a", "b")
-    found = components(links.union(verify.links(ordered(more))))
+    more = ordered(pairs.join(a, "g").join(b, "h").where("p != q").select("a", "b")).distinct()
+    more = materialize(more.join(tried, ["a", "b"], "left_anti"), "pairs")
+    discard(shared, open_, big, tried)
+    links = materialize(links.union(verify.links(more)), "links")
+    found = components(links)
 
     whole = classes.join(found.withColumnRenamed("node", "s"), "s", "left").select("s", "doc", F.coalesce("root", "s").alias("root"))
     named = whole.groupBy("root").agg(F.min("doc").alias("component_id"))
