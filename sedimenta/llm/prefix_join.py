@@ -17,7 +17,9 @@ a shingle of their prefixes.
    are filtered by size, place and count. Sets of n and m with a similarity of
    0.75 have a = ceil(0.75 (n + m) / 1.75) common shingles, so that they share
    t + 1 among the first n - a + 1 + t and m - a + 1 + t: of the others at most
-   a - 1 - t can be common. t is MORE, or less where prefixes are shorter. Members
+   a - 1 - t can be common. t is a part of the shortest prefixes (1 / PART), so
+   that long texts with a passage in common fall away and edits of one text, whose
+   own shingles come first, don't meet. Members
    are expanded and verified. Links within a component change nothing, and pairs
    that were verified before need no second look, so that no link is lost.
 
@@ -61,8 +63,8 @@ RATE, HEAVY = 0.001, 1 << 17
 PIECE, KEPT = 1 << 18, 1 << 12
 #: Star rounds, and partners of a group in each.
 ROUNDS, PARTNERS = 2, 2
-#: Groups of a shingle that the exact round pairs without a star round; shingles beyond the shortest prefixes that it looks at.
-SMALL, MORE = 4, 32
+#: Groups of a shingle that the exact round pairs without a star round; shingles beyond the shortest prefixes that it looks at: a part of these, and at most so many.
+SMALL, PART, MORE = 4, 8, 32
 #: Bits of the filters of documents (2 MB) and of shingles that stand in more than one group (16 MB).
 FILTER_BITS, SHINGLE_BITS = 1 << 24, 1 << 27
 
@@ -368,7 +370,8 @@ def met(open_: DataFrame) -> DataFrame:
     apart = ~((F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low")))
     n, m = F.col("x.n"), F.col("y.n")
     need = common(n, m)
-    more = F.least(F.lit(MORE), prefix_length(n) - (n - need + 1), prefix_length(m) - (m - need + 1))
+    early_n, early_m = n - need + 1, m - need + 1
+    more = F.least(F.lit(MORE), F.floor(F.least(early_n, early_m) / PART), prefix_length(n) - early_n, prefix_length(m) - early_m)
     early = (F.col("x.place") <= n - need + more) & (F.col("y.place") <= m - need + more)
     both = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("y.inner") | (F.col("x.g") < F.col("y.g"))) & alike(n, m) & early & apart)
     pairs = both.select(F.least("x.g", "y.g").alias("g"), F.greatest("x.g", "y.g").alias("h"), more.cast("int").alias("more"))
