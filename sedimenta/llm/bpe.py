@@ -8,6 +8,8 @@ tail of other characters at a chunk's end a match ends, too. Words repeat, so a
 ids spares most calls of the library, and no call gets a very long text unless
 it has no such place.
 
+Very long texts are cut at all safe places, so that only their ids are held whole.
+
 Defined results: a null text counts as empty; an empty text has 0 ids and
 decodes to no bytes; repeated rows give repeated rows; a null id stays null;
 further columns of the input are neither read nor returned.
@@ -28,8 +30,8 @@ from pyspark.sql import DataFrame
 #: White space but the space and the line feed: texts with it are cut by the general rule.
 OTHER_SPACE = [chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) not in " \n"]
 SAFE = re.compile(r"(?<=\S) (?=\S)")
-#: Entries of a table of chunks, and the longest chunk that stays in it: about 120 MB in each Python worker.
-TABLE, LONGEST = 600_000, 48
+#: Entries of a table of chunks, and the longest chunk that stays in it: about 20 MB in a task; the tables go when it ends.
+TABLE, LONGEST = 80_000, 48
 #: Characters of a chunk's tail that is encoded on its own, and tails that are remembered.
 LONG_TAIL, TAILS = 4, 10_000
 
@@ -113,20 +115,20 @@ def id_bytes(ids: list[int]) -> bytes:
     return PACK[n](*ids) if n < len(PACK) else struct.pack(f"<{n}I", *ids)
 
 
-_ENCODERS: dict[tuple, tuple] = {}
+_LIBRARY: dict[tuple, object] = {}
 
 
 def tiktoken_encoder(rank_file: str, pattern: str):
-    """The library's encoding and a chunk encoder over it, kept in each Python worker."""
-    if (rank_file, pattern) not in _ENCODERS:
+    """The library's encoding, of which a Python worker keeps one (some 15 MB), and a new chunk encoder over it."""
+    if (rank_file, pattern) not in _LIBRARY:
         import tiktoken
 
         with open(rank_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        enc = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        ids = lambda chunks: [id_bytes(enc.encode_ordinary(x)) for x in chunks]
-        _ENCODERS[rank_file, pattern] = enc, ChunkEncoder(ids)
-    return _ENCODERS[rank_file, pattern]
+        _LIBRARY.clear()
+        _LIBRARY[rank_file, pattern] = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    enc = _LIBRARY[rank_file, pattern]
+    return enc, ChunkEncoder(lambda chunks: [id_bytes(enc.encode_ordinary(x)) for x in chunks])
 
 
 def encode_decode(docs: DataFrame, rank_file: str, pattern: str, keep_ids: bool = False) -> DataFrame:

@@ -12,6 +12,8 @@ a marginal of a half or more are the offending spans.
 All weights and all tokens count: with two states, the recursions need one ratio
 a token, so that a text is passed in two runs over floats.
 
+A very long text is scored whole: its words and a few numbers for each are held.
+
 Defined results: a null text counts as empty; empty texts get the score that the
 regression gives to no toxic tokens; without labels of both kinds every score is
 the share of toxic labels (0 without any); a document labelled more than once
@@ -28,7 +30,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +47,7 @@ WINDOW, CLEAN_WINDOWS, STEPS, RATE, L2 = 32, 2, 60, 0.3, 1e-4
 #: Windows of a training set, in the order of a hash; only windows that a text or a seed feature has no other of may exceed it.
 MOST_WINDOWS = 6000
 #: Entries of a worker's table of words.
-TABLE = 200_000
+TABLE = 50_000
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
@@ -121,9 +122,9 @@ class Model:
         z = self.coefficients[0] + float(np.dot(self.coefficients[1:], summary(len(words), p)))
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z)))), [(i, x) for (i, _), x in zip(active, p, strict=True)]
 
-    def spans(self, text: str | None) -> list[tuple[int, int, float]]:
+    def spans(self, text: str | None, marginals: list[tuple[int, float]] | None = None) -> list[tuple[int, int, float]]:
         """Offending spans as (first, end) offsets of code points, with the largest marginal: neighbouring toxic tokens are one span."""
-        toxic = {i: p for i, p in self.of(text)[1] if p >= 0.5}
+        toxic = {i: p for i, p in (self.of(text)[1] if marginals is None else marginals) if p >= 0.5}
         out: list[tuple[int, int, float]] = []
         if toxic:
             last = -2
@@ -306,9 +307,9 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: dict[int, int] | None =
 def score_udf(model: Model):
     """A column function of texts: the score."""
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.of(x)[0] for x in texts], dtype="float64")
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        return pa.array([model.of(x)[0] for x in texts.to_pylist()], pa.float64())
 
     return scored
 
@@ -320,8 +321,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             s, spans = [], []
             for text in b.column("text").to_pylist():
-                s.append(model.of(text)[0])
-                spans.append([{"first": x, "end": y, "p": p} for x, y, p in model.spans(text)] if s[-1] >= 0.5 else [])
+                own, marginals = model.of(text)
+                s.append(own)
+                spans.append([{"first": x, "end": y, "p": p} for x, y, p in model.spans(text, marginals)] if own >= 0.5 else [])
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "held_out": b.column("held_out"), "score": pa.array(s, pa.float64()), "predicted": pa.array([int(x >= 0.5) for x in s], pa.int32()), "spans": pa.array(spans, SPANS)})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")

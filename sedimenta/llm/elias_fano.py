@@ -9,6 +9,10 @@ Files are written in ascending doc_id order (null first, equal ids by text):
 range-partitioned, sorted within a task, and rolled at a bound of ids, under
 temporary names; a manifest of the files that count commits the set.
 
+Strings of special tokens in a text are encoded as the library does by default, as
+those tokens. A very long text is encoded in chunks; its ids are held whole, and
+a file may exceed its bound by one document.
+
 Defined results: a null text counts as empty, and an empty document holds the
 end id alone; an empty table gives an empty manifest and no rows; repeated rows
 are written each; further columns are neither read nor returned.
@@ -119,9 +123,6 @@ def unpack(data: bytes) -> tuple[list[int | None], EliasFano, np.ndarray]:
     return [int(x) if k else None for x, k in zip(names, known, strict=True)], ef, np.frombuffer(data, f"<u{width}", total, at)
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
 #: The letter of byte-level alphabets that stands for a space (fixed value).
 SPACE = "\u0120"
 
@@ -156,17 +157,15 @@ def encode_chunks(t, alphabet: Alphabet, chunks: list[str]) -> list[bytes]:
 
 
 def library_encoder(tokenizer_file: str) -> ChunkEncoder:
-    if tokenizer_file not in _ENCODERS:
-        import os
+    """A chunk encoder over the library's tokenizer as its file defines it: strings of special tokens in a text become their ids."""
+    import os
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+    from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(tokenizer_file)
-        t.encode_special_tokens = True
-        alphabet = Alphabet(t)
-        _ENCODERS[tokenizer_file] = ChunkEncoder(lambda chunks: encode_chunks(t, alphabet, chunks))
-    return _ENCODERS[tokenizer_file]
+    t = Tokenizer.from_file(tokenizer_file)
+    alphabet = Alphabet(t)
+    return ChunkEncoder(lambda chunks: encode_chunks(t, alphabet, chunks))
 
 
 def write_tokens(docs: DataFrame, tokenizer_file: str, folder: str, end_id: int = 0, width: int = 2, file_ids: int = FILE_IDS) -> list[dict]:

@@ -17,7 +17,8 @@ A trigram is typical of a language if it stands in MIN_DOCS sampled texts of it,
 and in a share of them that is no less than RATIO of its share in any language.
 
 The sample: PER_LANGUAGE labelled rows of each language that aren't held out,
-by the order of a hash of doc_id. Everything else sees whole texts.
+by the order of a hash of doc_id; null texts among them teach nothing. Everything
+else sees whole texts.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; a
 text without evidence keeps the name of the nearest language, with score 0;
@@ -32,7 +33,6 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,6 +42,8 @@ from .common import held_out, materialize
 PER_LANGUAGE = 800
 MIN_DOCS, RATIO = 2, 0.25
 SLOT_BITS, HASHES = 18, 2
+#: Languages at most: so many rows of counts are broadcast.
+LANGUAGES = 10_000
 NOISE, SLACK, QUARTER = 3.0, 1.0, 0.25
 #: Code points that are worked on at a time; longer texts go in pieces that see the characters beside them.
 PIECE = 1 << 20
@@ -146,15 +148,19 @@ class Filters:
 
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Filters:
     """Filters from docs(doc_id, text, lang): a bounded sample of rows that aren't held out."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
-    # The choice needs ids only. A hash bound thins each language by its count before rows are ranked, so that no task ranks a whole language.
+    known = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
+    # The choice needs no text. A hash bound thins each language by its count before rows are ranked, so that no task ranks a whole language.
     ids = known.select("doc_id", "lang", F.xxhash64(F.lit(1), "doc_id").alias("h"))
-    counts = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
-    near = ids.join(counts, "lang").where(F.pmod("h", F.lit(1 << 30)) < (1 << 30) * (per_language + 5 * per_language**0.5) / F.col("rows"))
+    counts = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).collect()
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"{len(counts)} languages; filters are for {LANGUAGES} at most")
+    counts = docs.sparkSession.createDataFrame(counts, "lang string, rows long")
+    near = ids.join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(1 << 30)) < (1 << 30) * (per_language + 5 * per_language**0.5) / F.col("rows"))
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     chosen = near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("doc_id", "lang")
     chosen = materialize(chosen, "languages")
     # A row a language.
+    known = known.where("text is not null")
     texts = {r["lang"]: r["n"] for r in known.join(chosen, ["doc_id", "lang"], "left_semi").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,10 +203,10 @@ def accepted_udf(filters: Filters):
     """A column function of texts: whether the text is of some language. Those without a letter or without evidence are not, nor those whose corrected counts are an even split."""
     least = 1.0 / max(2, len(filters.languages))
 
-    @F.pandas_udf("boolean")
-    def accepted(texts: pd.Series) -> pd.Series:
-        lang, score = filters.predict(list(texts))
-        return pd.Series([x != UND and bool(y > least) for x, y in zip(lang, score, strict=True)], dtype=bool)
+    @F.arrow_udf("boolean")
+    def accepted(texts: pa.Array) -> pa.Array:
+        lang, score = filters.predict(texts.to_pylist())
+        return pa.array([x != UND and bool(y > least) for x, y in zip(lang, score, strict=True)], pa.bool_())
 
     return accepted
 

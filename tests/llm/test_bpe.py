@@ -9,6 +9,9 @@ from sedimenta.llm.common import table
 from sedimenta.llm.elias_fano import library_encoder
 
 
+OTHER = library_encoder(P.path("byte_bpe_50k.json"))
+
+
 def expected(text):
     enc, _ = bpe.tiktoken_encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     ids = enc.encode_ordinary(text or "")
@@ -25,6 +28,10 @@ def test_odd_texts(odd):
     check(odd)
 
 
+def test_long_texts(spark):
+    check(spark.createDataFrame([(0, "word and more, " * 300_000), (1, "y" * 40_000), (2, "\n" * 100_000)], "doc_id long, text string"))
+
+
 def test_documents(spark, sf):
     check(table(spark, sf, "documents"))
 
@@ -47,5 +54,4 @@ def test_small_table_of_chunks(monkeypatch):
 def test_chunks_give_the_library_ids(texts):
     enc, chunks = bpe.tiktoken_encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     assert chunks.encode(texts) == [bpe.id_bytes(enc.encode_ordinary(x)) for x in texts]
-    other = library_encoder(P.path("byte_bpe_50k.json"))
-    assert other.encode(texts) == chunks.encode(texts)
+    assert OTHER.encode(texts) == chunks.encode(texts)

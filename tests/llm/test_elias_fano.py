@@ -29,7 +29,6 @@ def test_space():
 
 def expected(docs):
     t = Tokenizer.from_file(FILE)
-    t.encode_special_tokens = True
     rows = sorted(docs.select("doc_id", "text").collect(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     out, start = [], 0
     for r in rows:
@@ -51,6 +50,11 @@ def test_odd_texts(odd):
     assert len(check(odd, file_ids=50)) > 2
 
 
+def test_special_tokens_and_long_texts(spark):
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "a<|endoftext|>b c", "x\n<|endoftext|>\ny <|endoftext|><|endoftext|> z", "<|endoftext|", "word and more " * 300_000, "y" * 40_000]
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+
+
 def test_documents(spark, sf):
     check(table(spark, sf, "documents"))
 
