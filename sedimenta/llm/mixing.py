@@ -7,16 +7,21 @@
 2. Each source's documents are shuffled by a hash and laid end to end; the
    stream, read up to ``multiple`` times over, is cut into blocks of equal words.
 3. Slot k of the schedule draws the golden-ratio point frac(k / phi) through the
-   cumulative weights of the targets, which names a source; the slots of a
-   source are ranked, and rank r takes its block r. A source needs
-   ceil(target / block) slots; slots beyond are void, and lacking ones follow
-   the schedule at its end.
-4. Blocks are joined with the pieces of documents that lie in them.
+   cumulative shares of the sources, which names a source; the slots of a source
+   are ranked, and rank r takes its block r. A source's share is by the blocks
+   that its target fills; a slot beyond these is void. The schedule runs on, by
+   doublings, until every source has its slots, which takes about twice as many
+   as there are blocks; at LONGEST times as many it ends, and what no slot drew
+   isn't taken.
+4. Blocks are joined with the pieces of documents that lie in them: a document is
+   taken by the slots of its pieces, the first of which is its place in the mix.
 
 A document's place in its stream is a running sum in three parts (documents in
 a bucket of the hash, buckets before it, passes before it), so that no window
 holds a whole source.
 
+A very long text is a number of words here, and as many pieces as blocks.
+
 Defined results: a null text has size 0; a null source is a source of its own,
 last in order; documents of size 0 are taken 0 times; a table without words has
 targets 0; repeated rows are documents of their own (ties by doc_id, then size);
@@ -35,8 +40,10 @@ WEIGHTS, SHARE, MULTIPLE = (5.0, 2.0, 1.0), 1.5, 2.0
 BLOCK = 1024
 #: 1 / golden ratio as a 53-bit fraction: k * PHI mod 2^53 needs no floating point.
 PHI, ONE = 5566755282872655, 1 << 53
-#: Documents of a source in a bucket of its shuffled order, about.
-BUCKET = 20_000
+#: Documents of a source in a bucket of its shuffled order, about, and slots in a stretch of the schedule.
+BUCKET, STRETCH = 20_000, 2048
+#: Slots of the schedule at most, as a multiple of the blocks.
+LONGEST = 64
 
 
 def word_count(text: Column) -> Column:
@@ -79,52 +86,68 @@ def shuffled(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     return materialize(placed.select("doc_id", "source", "size", "place", "source_size", "target", "at"), "mix-placed"), sizes
 
 
-def schedule(sizes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Slots of the mix in order: slot, place (of the source), rank (from 0), block_words. The last block of a source may be shorter."""
-    spark = sizes.sparkSession
+def shares(sizes: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """place, take, need (blocks), low and high (the unit interval by need) of the sources that take anything, and the number of blocks. One row a source."""
     s = sizes.select("place", F.round("target").cast("long").alias("take")).where("take > 0").withColumn("need", F.ceil(F.col("take") / block))
-    # One row a source: bounds of the unit interval that the targets' running sums cut.
     w = Window.orderBy("place")
-    s = s.withColumn("end", F.sum("take").over(w)).withColumn("total", F.sum("take").over(Window.partitionBy()))
-    s = s.withColumn("low", (F.col("end") - F.col("take")) / F.col("total")).withColumn("high", F.when(F.col("end") == F.col("total"), 1.0).otherwise(F.col("end") / F.col("total")))
+    s = s.withColumn("end", F.sum("need").over(w)).withColumn("total", F.sum("need").over(Window.partitionBy()))
+    s = s.withColumn("low", (F.col("end") - F.col("need")) / F.col("total")).withColumn("high", F.when(F.col("end") == F.col("total"), 1.0).otherwise(F.col("end") / F.col("total")))
     s = materialize(s, "mix-shares")
-    slots = s.agg(F.coalesce(F.sum("need"), F.lit(0)).alias("n")).first()["n"]
+    return s, s.agg(F.coalesce(F.sum("need"), F.lit(0)).alias("n")).first()["n"]
+
+
+def drawn(s: DataFrame, slots: int) -> DataFrame:
+    """slot, place, need, take: the source that each of so many slots draws."""
     # k * PHI mod 2^53 in decimals, which hold the product whole.
     point = F.expr(f"cast(cast(id as decimal(20,0)) * cast({PHI} as decimal(16,0)) % cast({ONE} as decimal(16,0)) as double)") / F.lit(float(ONE))
-    points = spark.range(slots).select(F.col("id").alias("slot"), point.alias("u"))
+    points = s.sparkSession.range(slots).select(F.col("id").alias("slot"), point.alias("u"))
     # The map from a point to a source is a range join; both sides carry the cell of the unit interval they touch, so that it is an equi-join.
-    cells = 1024
-    shares = s.withColumn("cell", F.explode(F.sequence((F.col("low") * cells).cast("long"), F.least(F.lit(cells - 1), (F.col("high") * cells).cast("long")))))
-    hit = points.withColumn("cell", (F.col("u") * cells).cast("long")).join(shares, "cell").where("u >= low and u < high").select("slot", "place", "need", "take")
+    cells = max(1024, 1 << (4 * s.count()).bit_length())
+    cut = s.withColumn("cell", F.explode(F.sequence((F.col("low") * cells).cast("long"), F.least(F.lit(cells - 1), (F.col("high") * cells).cast("long")))))
+    return points.withColumn("cell", (F.col("u") * cells).cast("long")).join(cut, "cell").where("u >= low and u < high").select("slot", "place", "need", "take")
+
+
+def schedule(sizes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Slots of the mix that take a block: slot, place (of the source), rank (from 0), block_words. The last block of a source may be shorter."""
+    s, blocks = shares(sizes, block)
+    slots = 2 * blocks
+    while True:
+        counts = drawn(s, slots).groupBy("place").agg(F.count(F.lit(1)).alias("n"))
+        if slots >= LONGEST * blocks or s.join(counts, "place", "left").where("coalesce(n, 0) < need").isEmpty():
+            break
+        slots *= 2
     # Rank of a slot in its source: slots of earlier stretches by a sum over stretches, then a window within one.
-    hit = hit.withColumn("stretch", F.expr(f"slot div {BUCKET}"))
+    hit = drawn(s, slots).withColumn("stretch", F.expr(f"slot div {STRETCH}"))
     per = hit.groupBy("place", "stretch").agg(F.count(F.lit(1)).alias("n"))
     per = per.withColumn("before", F.sum("n").over(Window.partitionBy("place").orderBy("stretch")) - F.col("n")).drop("n")
-    ranked = hit.join(per, ["place", "stretch"]).withColumn("rank", F.row_number().over(Window.partitionBy("place", "stretch").orderBy("slot")) - 1 + F.col("before"))
-    drawn = ranked.groupBy("place").agg(F.count(F.lit(1)).alias("n"))
-    tail = s.join(drawn, "place", "left").where("coalesce(n, 0) < need").withColumn("rank", F.explode(F.sequence(F.coalesce("n", F.lit(0)), F.col("need") - 1)))
-    tail = tail.select((F.lit(slots) + F.col("rank") * 1000 + F.pmod("place", F.lit(1000))).alias("slot"), "place", "rank", "take")
-    kept = ranked.where("rank < need").select("slot", "place", "rank", "take").unionByName(tail)
-    return kept.withColumn("block_words", F.least(F.lit(block), F.col("take") - F.col("rank") * block)).drop("take")
+    ranked = hit.join(per, ["place", "stretch"]).where("before < need").withColumn("rank", F.row_number().over(Window.partitionBy("place", "stretch").orderBy("slot")) - 1 + F.col("before"))
+    return ranked.where("rank < need").select("slot", "place", "rank", F.least(F.lit(block), F.col("take") - F.col("rank") * block).alias("block_words"))
 
 
 def mix(docs: DataFrame, block: int = BLOCK, seed: int = 10) -> DataFrame:
-    """doc_id, size, source, source_size, target, taken for docs(doc_id, source, size): the words of each that the mix takes."""
+    """A row for each of docs(doc_id, source, size): doc_id, size, source, source_size, target, taken (words of it that the mix takes), first_slot, n_slots (of the schedule, that take any of them), passes (array of the first slots of its first, second ... passage)."""
     placed, sizes = shuffled(docs, seed)
     # Pieces: a document lies once in each pass over its source's stream, at most ceil(MULTIPLE) of them.
     passes = F.explode(F.sequence(F.lit(0), F.lit(int(MULTIPLE + 0.999) - 1)))
     p = placed.where("size > 0").select("place", "at", "size", "source_size", passes.alias("pass"))
     p = p.withColumn("from", F.col("at") + F.col("pass") * F.col("source_size")).withColumn("to", F.col("from") + F.col("size"))
     p = p.withColumn("rank", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))))
-    slots = schedule(sizes, block).select("place", "rank", "block_words")
-    hit = p.join(slots, ["place", "rank"])
+    hit = p.join(schedule(sizes, block), ["place", "rank"])
     part = F.least(F.col("to"), F.col("rank") * block + F.col("block_words")) - F.greatest(F.col("from"), F.col("rank") * block)
-    taken = hit.groupBy("place", "at").agg(F.sum(F.greatest(part, F.lit(0))).cast("long").alias("words"))
+    hit = hit.withColumn("part", part).where("part > 0")
+    of_pass = hit.groupBy("place", "at", "pass").agg(F.sum("part").cast("long").alias("words"), F.min("slot").alias("slot"), F.count(F.lit(1)).alias("slots"))
+    taken = of_pass.groupBy("place", "at").agg(F.sum("words").alias("words"), F.sum("slots").alias("n_slots"), F.min("slot").alias("first_slot"), F.transform(F.array_sort(F.collect_list(F.struct("pass", "slot"))), lambda x: x["slot"]).alias("passes"))
     # Documents of size 0 share their place with the next one; they take nothing.
     out = placed.join(taken, (placed["place"] == taken["place"]) & (placed["at"] == taken["at"]) & (placed["size"] > 0), "left")
-    return out.select("doc_id", "size", "source", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "size", "source", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"), "first_slot", F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"), "passes")
+
+
+def sized(docs: DataFrame, *columns: str) -> DataFrame:
+    """doc_id, source, size of docs, written: words of whole texts are counted once."""
+    return materialize(docs.select(*columns, "source", word_count(F.col("text")).alias("size")), "mix-sizes")
 
 
 def mix_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """mix() of a documents table: sizes are words of whole texts."""
-    return mix(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size")), block)
+    """mix() of a documents table, without the slots of passages."""
+    rows = sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text"), "doc_id")
+    return mix(rows, block).drop("passes")

@@ -13,14 +13,14 @@ from .common import materialize, tune
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents with a toxicity score below a half."""
+    """Documents with a toxicity score below a half. Null and empty texts have the score of no toxic tokens."""
     tune(docs.sparkSession)
     model = crf_toxicity.learn(docs, labels)
     return docs.where(crf_toxicity.score_udf(model)(F.col("text")) < 0.5)
 
 
 def of_a_language(docs: DataFrame) -> DataFrame:
-    """Documents that language identification gives a language."""
+    """Documents that language identification gives a language. Null texts, those without a letter or without evidence and even splits go."""
     tune(docs.sparkSession)
     return docs.where(lang_bloom.accepted_udf(lang_bloom.learn(docs))(F.col("text")))
 
@@ -37,7 +37,7 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """Of each component of similar documents the one with the least id."""
+    """Of each component of similar documents the one with the least id. Null texts and those without words are alone and stay."""
     tune(docs.sparkSession)
     rows, key = numbered(docs)
     joined = prefix_join.join(rows.select(F.col(key).alias("doc_id"), "text"))
@@ -46,10 +46,15 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """Each document as often as the mix takes its words, to the nearest whole number (none, once or twice)."""
+    """Each document as often as the mix takes its words, to the nearest whole number (none, once or twice; a half counts up), in the order of the schedule.
+
+    A copy stands where the schedule first takes a piece of that passage. Documents
+    without words (null and empty texts too) take no part in a mix and go. Files
+    are cut by ranges of slots and sorted within, so that they follow the schedule.
+    """
     tune(docs.sparkSession)
     rows, key = numbered(docs)
-    taken = mixing.mix(rows.select(F.col(key).alias("doc_id"), "source", mixing.word_count(F.col("text")).alias("size")))
-    copies = taken.where("size > 0").select(F.col("doc_id").alias(key), F.round(F.col("taken") / F.col("size")).cast("int").alias("_copies")).where("_copies > 0")
-    copies = copies.select(key, F.explode(F.sequence(F.lit(1), "_copies"))).select(key)
-    return rows.join(copies, key).select(*docs.columns)
+    taken = mixing.mix(mixing.sized(rows.select(F.col(key).alias("doc_id"), "source", "text"), "doc_id"))
+    copies = taken.where("size > 0").select(F.col("doc_id").alias(key), F.slice("passes", F.lit(1), F.round(F.col("taken") / F.col("size")).cast("int")).alias("_slots"))
+    copies = copies.select(key, F.explode("_slots").alias("_slot"))
+    return rows.join(copies, key).repartitionByRange("_slot").sortWithinPartitions("_slot", key).select(*docs.columns)
