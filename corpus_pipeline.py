@@ -45,7 +45,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("byte_level_bpe", byte_level_bpe),
 ]
 
-#: Models, components and token ids are beyond SQL: tests hold run() against brute force.
+#: Models, components and token ids are beyond SQL: tests repeat the stages' decisions row by row; the operators' own tests hold them against brute force.
 ORACLE_SQL = None
 
 
