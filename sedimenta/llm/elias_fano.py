@@ -156,15 +156,21 @@ def encode_chunks(t, alphabet: Alphabet, chunks: list[str]) -> list[bytes]:
     return out
 
 
+_LIBRARY: dict[str, tuple] = {}
+
+
 def library_encoder(tokenizer_file: str) -> ChunkEncoder:
-    """A chunk encoder over the library's tokenizer as its file defines it: strings of special tokens in a text become their ids."""
-    import os
+    """A new chunk encoder over the library's tokenizer as its file defines it, of which a Python worker keeps one: strings of special tokens in a text become their ids."""
+    if tokenizer_file not in _LIBRARY:
+        import os
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-    from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_file)
-    alphabet = Alphabet(t)
+        t = Tokenizer.from_file(tokenizer_file)
+        _LIBRARY.clear()
+        _LIBRARY[tokenizer_file] = t, Alphabet(t)
+    t, alphabet = _LIBRARY[tokenizer_file]
     return ChunkEncoder(lambda chunks: encode_chunks(t, alphabet, chunks))
 
 
