@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 #: White space but the space and the line feed: texts with it are cut by the general rule.
 OTHER_SPACE = [chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) not in " \n"]
 SAFE = re.compile(r"(?<=\S) (?=\S)")
-#: Entries of a table of chunks, and the longest chunk that stays in it: about 20 MB in a task; the tables go when it ends.
+#: Entries of a table of chunks, and the longest chunk that stays in it: about 20 MB in a task (unless a caller keeps its encoder).
 TABLE, LONGEST = 80_000, 48
 #: Characters of a chunk's tail that is encoded on its own, and tails that are remembered.
 LONG_TAIL, TAILS = 4, 10_000
@@ -56,15 +56,16 @@ def stem_of(chunk: str) -> str:
 class Chunks:
     """ids of chunks that stand behind ``lead``: two generations of a table, the older of which is dropped when the younger is half full."""
 
-    def __init__(self, encode_all: Callable[[list[str]], list[bytes]], lead: str):
-        self.encode_all, self.lead = encode_all, lead
+    def __init__(self, encode_all: Callable[[list[str]], list[bytes]], lead: str, table: int):
+        self.encode_all, self.lead, self.half = encode_all, lead, table // 2
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
+        self.long: list[str] = []
 
     def of(self, wanted: set[str]) -> dict[str, bytes]:
         """A table that holds all wanted chunks."""
-        if len(self.young) > TABLE // 2:
+        if len(self.young) > self.half:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
         missing = wanted.difference(young)
@@ -73,8 +74,9 @@ class Chunks:
         known = missing & old.keys()
         young.update((x, old[x]) for x in known)
         missing -= known
-        tailed = {x: stem for x in missing if (stem := stem_of(x))}
+        tailed = {x: stem for x in missing if not x.isalpha() and (stem := stem_of(x))}
         new = list(missing.difference(tailed) | set(tailed.values()).difference(young))
+        self.long = [x for names in (new, tailed) for x in names if len(x) > LONGEST]
         young.update(zip(new, self.encode_all([x if x[:1] == "\n" else self.lead + x for x in new]), strict=True))
         if len(self.tails) > TAILS:
             self.tails.clear()
@@ -83,17 +85,18 @@ class Chunks:
         young.update((x, young[stem] + self.tails[x[len(stem) :]]) for x, stem in tailed.items())
         return young
 
-    def forget(self, wanted: set[str]) -> None:
-        for x in wanted:
-            if len(x) > LONGEST:
-                self.young.pop(x, None)
+    def forget(self) -> None:
+        """Drop the long chunks that were new at the last call of of()."""
+        for x in self.long:
+            self.young.pop(x, None)
+        self.long = []
 
 
 class ChunkEncoder:
     """ids of texts as little-endian bytes, by ``encode_all(chunks) -> list of id bytes``, called for chunks that aren't known."""
 
-    def __init__(self, encode_all: Callable[[list[str]], list[bytes]]):
-        self.first, self.rest = Chunks(encode_all, ""), Chunks(encode_all, " ")
+    def __init__(self, encode_all: Callable[[list[str]], list[bytes]], table: int = TABLE):
+        self.first, self.rest = Chunks(encode_all, "", table), Chunks(encode_all, " ", table)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [cut(x) for x in texts]
@@ -101,8 +104,8 @@ class ChunkEncoder:
         first, rest = self.first.of(heads), self.rest.of(tails)
         get = rest.__getitem__
         out = [first[p[0]] + b"".join(map(get, p[1:])) for p in parts]
-        self.first.forget(heads)
-        self.rest.forget(tails)
+        self.first.forget()
+        self.rest.forget()
         return out
 
 

@@ -156,22 +156,24 @@ def encode_chunks(t, alphabet: Alphabet, chunks: list[str]) -> list[bytes]:
     return out
 
 
-_LIBRARY: dict[str, tuple] = {}
+#: Entries of the table of chunks that a Python worker keeps from task to task: with a batch's own chunks some 60 MB.
+TABLE = 240_000
+_ENCODERS: dict[str, ChunkEncoder] = {}
 
 
 def library_encoder(tokenizer_file: str) -> ChunkEncoder:
-    """A new chunk encoder over the library's tokenizer as its file defines it, of which a Python worker keeps one: strings of special tokens in a text become their ids."""
-    if tokenizer_file not in _LIBRARY:
+    """The chunk encoder over the library's tokenizer as its file defines it, of which a Python worker keeps one: strings of special tokens in a text become their ids."""
+    if tokenizer_file not in _ENCODERS:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(tokenizer_file)
-        _LIBRARY.clear()
-        _LIBRARY[tokenizer_file] = t, Alphabet(t)
-    t, alphabet = _LIBRARY[tokenizer_file]
-    return ChunkEncoder(lambda chunks: encode_chunks(t, alphabet, chunks))
+        alphabet = Alphabet(t)
+        _ENCODERS.clear()
+        _ENCODERS[tokenizer_file] = ChunkEncoder(lambda chunks: encode_chunks(t, alphabet, chunks), TABLE)
+    return _ENCODERS[tokenizer_file]
 
 
 def write_tokens(docs: DataFrame, tokenizer_file: str, folder: str, end_id: int = 0, width: int = 2, file_ids: int = FILE_IDS) -> list[dict]:
